@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from barsmith.llm import bpe
+from pyspark.sql import functions as F
+
+from barsmith.llm import bpe, packing, quality, secrets, simhash, topk
 from barsmith.llm.common import table
 from barsmith.llm.tokenizers import pattern, vocabulary
 
@@ -20,3 +22,39 @@ def query(f):
 def op1_byte_bpe(spark, sf_dir):
     """Ids and decoded bytes of every whole text, as digests."""
     return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), pattern()))
+
+
+@query
+def op5_simhash(spark, sf_dir):
+    """Fingerprint and near-duplicate class of every document."""
+    return simhash.digests(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
+@query
+def op10_quality(spark, sf_dir):
+    """Quality score of every document; labels of held-out documents are never seen."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels").where(~quality.held_out()))
+    scored = quality.scores(docs, model)
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op3_packing(spark, sf_dir):
+    """Every document, cut where it must be and packed into sequences of 1024 tokens."""
+    docs = table(spark, sf_dir, "documents")
+    return packing.digests(packing.pack(packing.pieces(docs, vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"), pattern())))
+
+
+@query
+def op4_top_k(spark, sf_dir):
+    """The 20 best inner products of every twentieth vector against all others."""
+    vectors = table(spark, sf_dir, "embeddings")
+    found = topk.top_k(topk.quantised(vectors), topk.quantised(vectors.where("vec_id % 20 = 0")))
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query
+def op7_secrets(spark, sf_dir):
+    """Spans of secrets in every whole text."""
+    return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))

@@ -8,7 +8,9 @@ almost every later length meets one it fills.
 On a cluster pieces are dealt by a hash to bundles of about ``BUNDLE`` pieces, each packed by one task.  The bins that a
 bundle leaves open are few; their pieces are dealt again to fewer bundles, round by round until one is left.  Each round
 is written, so a lost executor cannot mix two packings.  Pieces of full length are sequences by themselves and are never
-dealt.  Bundles are packed in an order fixed by their rows, longest pieces first.
+dealt.  A bundle is packed in an order fixed by its rows: pieces of over a
+quarter of a sequence, longest first, then the others in the order of their checksums, which is as good as shuffled.
+(Sorted throughout, the small ones come in runs of one length and leave one per cent unused; so, 0.05 %.)
 
 Null texts count as empty (the end mark alone); rows with a null id are packed too; repeated rows are packed each; an
 empty table gives an empty result; other columns are not read.
@@ -123,7 +125,10 @@ def _pack(rows: DataFrame, round_no: int, bundles: int, length: int) -> DataFram
 
     def each(keys, batches):
         table = pa.Table.from_batches(list(batches)) if not isinstance(batches, pa.Table) else batches
-        table = table.sort_by([("length", "descending"), ("id", "ascending"), ("piece", "ascending"), ("start", "ascending"), ("crc", "ascending")])
+        table = table.sort_by([("id", "ascending"), ("piece", "ascending"), ("start", "ascending"), ("crc", "ascending")])
+        size, crc = np.array(table.column("length")), np.array(table.column("crc"))
+        small = size <= length // 4
+        table = table.take(pa.array(np.lexsort((np.where(small, crc, -size), small))))
         bins, offsets, gaps = sum_of_squares(table.column("length").to_pylist(), length)
         own = (int(keys[0].as_py()) << 24) + np.array(bins, np.int64) + (round_no << 52)
         gap = np.array(gaps, np.int64)[np.array(bins, np.int64)]

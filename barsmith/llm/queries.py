@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barsmith.llm import bpe, packing, quality, secrets, simhash, topk
+from barsmith.llm import bpe, lempel, packing, pii, quality, secrets, simhash, substring, suffix, topk
 from barsmith.llm.common import table
 from barsmith.llm.tokenizers import pattern, vocabulary
 
+#: The key of the registered pseudonyms; a deployment passes its own secret.
+KEY = "example key of the registered query"
+
 QUERIES: dict = {}
 #: None of the contracts can be stated in the SQL of the driver within whole tables; tests hold them against brute force.
 SQL: dict[str, str] = {}
@@ -58,3 +61,27 @@ def op4_top_k(spark, sf_dir):
 def op7_secrets(spark, sf_dir):
     """Spans of secrets in every whole text."""
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+@query
+def op6_lempel_ziv(spark, sf_dir):
+    """Phrase fingerprints of every whole text and of its edited text."""
+    return lempel.digests(lempel.edits(table(spark, sf_dir, "documents")))
+
+
+@query
+def op2_substring(spark, sf_dir):
+    """Words of 13-word windows that also start in an earlier document, taken out of every text."""
+    return substring.digests(substring.without_repeats(table(spark, sf_dir, "documents")))
+
+
+@query
+def op9_suffix_array(spark, sf_dir):
+    """Bytes of 100-byte strings that also start earlier, taken out of every text."""
+    return suffix.digests(suffix.without_repeats(table(spark, sf_dir, "documents")))
+
+
+@query
+def op8_pii_pseudonyms(spark, sf_dir):
+    """Every text with personal numbers and dates under keyed pseudonyms, and how many of each kind were found."""
+    return pii.counted(pii.pseudonyms(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY))

@@ -1 +1 @@
-
+"""Scalar and ordered-fold functions over columns."""

@@ -1 +1 @@
-
+"""Operators over trade tapes and bars."""

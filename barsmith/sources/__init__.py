@@ -1 +1 @@
-
+"""Tapes, JSON feeds, configuration and generators."""

@@ -1 +1 @@
-
+"""Bars, book state and archives as Structured Streaming queries."""

@@ -163,8 +163,17 @@ def repeats_within(text: np.ndarray, at: np.ndarray, n: np.ndarray, source: np.n
     size = last - first + 1
     member = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
     later = rank[member] > np.repeat(least, size)
-    member = member[later]
-    return owner[member], no[member], np.repeat(length, size)[later] - k + 1
+    member, length = member[later], np.repeat(length, size)[later]
+    # The union of what they cover, sequence by sequence: intervals nest, and what nests says nothing new.
+    base = np.cumsum(n + 1) - (n + 1)
+    edge = np.zeros(int((n + 1).sum()) + 1, np.int64)
+    at_window = base[owner[member]] + no[member]
+    np.add.at(edge, at_window, 1)
+    np.add.at(edge, np.minimum(at_window + length - k + 1, base[owner[member]] + n[owner[member]]), -1)
+    on = np.diff(np.concatenate([[0], (np.cumsum(edge) > 0).astype(np.int8), [0]]))
+    begin, finish = np.flatnonzero(on == 1), np.flatnonzero(on == -1)
+    of = np.searchsorted(base, begin, side="right") - 1
+    return of, begin - base[of], finish - begin
 
 
 _STRINGS = "mini long, sk long, id long, start int, n int, part int, parts int, text binary"
@@ -236,7 +245,7 @@ def _scan(strings: DataFrame, k: int) -> DataFrame:
 
     dealt = strings.repartition(partitions_for(strings), "mini", "part").sortWithinPartitions("mini", "part")
     found = dealt.mapInArrow(each, "mini long, sk long, at int, n int")
-    return found.groupBy("mini", "sk").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
+    return found.groupBy("mini", "sk").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
 
 
 def removals(docs: DataFrame, k: int = BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -280,5 +280,36 @@ def without_repeats(docs: DataFrame, k: int = BYTES, id_col: str = "doc_id", tex
     return joined.mapInArrow(each, kinds).unionByName(nameless.mapInArrow(each, kinds))
 
 
+def deduplicated(docs: DataFrame, k: int = BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with every character taken out whose bytes all stand in repeated strings; other columns pass.
+
+    Rows with a null id and rows with a null text come through as they are.
+    """
+    names = docs.columns
+    found = removals(docs, k, id_col, text_col).select(F.col("id").alias("__id"), F.col("hash").alias("__hash"), F.col("runs").alias("__runs"))
+    own = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    joined = own.join(found, (own[id_col].cast("long") == found["__id"]) & (own["__hash"] == found["__hash"]), "left").select(*[own[c] for c in names], "__runs")
+    where = names.index(text_col)
+
+    def each(batches):
+        for batch in batches:
+            data, at = utf8(batch.column(where))
+            valid, out = batch.column(where).is_valid().to_pylist(), []
+            for a, b, runs, ok in zip(at[:-1], at[1:], batch.column(len(names)), valid):
+                own = data[a:b]
+                if runs.is_valid:
+                    gone = repeats.covered(len(own), runs.values, k - 1)
+                    # A character goes if all of its bytes go.
+                    head = np.flatnonzero((own & 0xC0) != 0x80)
+                    whole = np.logical_and.reduceat(gone, head)
+                    own = own[~np.repeat(whole, np.diff(np.append(head, len(own))))]
+                out.append(own.tobytes().decode() if ok else None)
+            columns = list(batch.columns[:-1])
+            columns[where] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return joined.mapInArrow(each, docs.schema)
+
+
 def digests(cut: DataFrame) -> DataFrame:
     return cut.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in an Arrow batch.  Texts can be long, so batches are kept short and are cut further by bytes (``groups``).
-BATCH_ROWS = 1024
+BATCH_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if the table has such a column, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions_for(df: DataFrame, least: int = 1) -> int:
     """Shuffle partitions of the session, for exchanges that name a number."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

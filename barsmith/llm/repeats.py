@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from barsmith.llm.common import groups, utf8, written
 
-HELD = 1 << 19
-TEXT_BYTES = 1 << 21
+HELD = 1 << 18
+TEXT_BYTES = 1 << 19
 ROWS = "mini long, sk long, id long, hash long, start int, n int, loop boolean, done boolean"
 
 

@@ -15,7 +15,8 @@ the round and one half; halves are added modulo the sizes of their own domains (
 the 146,097 days of 400 years), so it is a permutation of just the valid values and separators stay in place.  Equal
 values become equal ones in all documents, different ones of one kind and length different ones.  Nothing is shuffled.
 
-Null texts stay null, repeated rows are treated each, other columns pass; candidates that overlap: the leftmost counts.
+Null texts stay null, repeated rows are treated each, other columns pass (one named like the list of kinds gives way);
+candidates that overlap: the leftmost counts.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barsmith.llm.common import unused
+
 KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card")
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -33,7 +36,7 @@ _FORMS = {
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9/-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?:\+[0-9]{1,3}[ .-]?|(?<![0-9+.-]))(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|\+[0-9]{1,3}(?:[ .-][0-9]{2,5}){2,5}(?![0-9])|\+[0-9]{8,15}(?![0-9])",
+    "phone": r"(?:\+[0-9]{1,3}[ .-]?|(?<![0-9+.-]))(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|\+[0-9]{1,3}(?:[ .-][0-9]{2,8}){2,5}(?![0-9])|\+[0-9]{8,15}(?![0-9])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
 }
 PATTERN = "|".join(f"(?:{p})" for p in _FORMS.values())
@@ -166,19 +169,20 @@ def pseudonyms(docs: DataFrame, key: str, text_col: str = "text", found_col: str
     if not key or "'" in key or "\\" in key:
         raise ValueError("the key must be a string without quotes or backslashes")
     text = f"`{text_col}`"
+    found_, values = unused(docs, "__candidates"), unused(docs, "__values")
     some = f"{text} RLIKE '[0-9@]'"
     candidates = f"CASE WHEN {some} THEN regexp_extract_all({text}, {_quoted(PATTERN)}, 0) END"
-    names = [c for c in docs.columns if c != text_col]
-    step = docs.select(*[F.col(f"`{c}`") for c in names], F.col(text).alias(text_col), F.expr(candidates).alias("__candidates"))
     value = _value("'" + key + "'", "m")
-    step = step.withColumn("__values", F.expr(f"CASE WHEN size(__candidates) > 0 THEN transform(__candidates, m -> {value}) END"))
+    step = docs.withColumn(found_, F.expr(candidates)).withColumn(values, F.expr(f"CASE WHEN size({found_}) > 0 THEN transform({found_}, m -> {value}) END"))
     segments = f"split({text}, {_quoted(PATTERN)}, -1)"
-    joined = f"CASE WHEN __values IS NULL THEN {text} ELSE array_join(zip_with({segments}, __values, (t, v) -> concat(t, coalesce(v.text, ''))), '') END"
-    found = "filter(transform(coalesce(__values, array()), v -> v.kind), k -> k IS NOT NULL)"
-    return step.select(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.expr(joined).alias(text_col), F.expr(found).alias(found_col))
+    joined = f"CASE WHEN {values} IS NULL THEN {text} ELSE array_join(zip_with({segments}, {values}, (t, v) -> concat(t, coalesce(v.text, ''))), '') END"
+    found = f"filter(transform(coalesce({values}, array()), v -> v.kind), k -> k IS NOT NULL)"
+    kept = [F.expr(joined).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c.lower() != found_col.lower()]
+    return step.select(*kept, F.expr(found).alias(found_col))
 
 
 def counted(done: DataFrame, found_col: str = "found") -> DataFrame:
-    """One count for each kind instead of the list."""
+    """One count for each kind instead of the list; columns named like a count give way."""
     counts = [F.expr(f"cast(size(filter({found_col}, k -> k = '{kind}')) AS bigint)").alias(f"n_{kind}") for kind in KINDS]
-    return done.select(*[c for c in done.columns if c != found_col], *counts)
+    own = {found_col.lower(), *(f"n_{kind}" for kind in KINDS)}
+    return done.select(*[F.col(f"`{c}`") for c in done.columns if c.lower() not in own], *counts)

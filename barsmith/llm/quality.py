@@ -210,7 +210,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def scores(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with the score of each text; other columns pass unread."""
+    """``docs`` with the score of each text; other columns pass unread, one named like the score gives way."""
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != out.lower()])
     names = docs.columns
     where = names.index(text_col)
     kinds = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])

@@ -15,8 +15,8 @@ Linking works on *distinct* fingerprints, so exact copies cost one row each:
    blocks of the other bits two neighbours agree in one at least.  So no task holds an unbounded group;
 4. components come from alternating large-star and small-star steps over the forest, each written to the shared folder.
 
-Repeated ids: every row gets the component of its own fingerprint.  The component's name is its smallest non-null id;
-rows with a null id take part and keep it.  An empty table gives an empty result.
+Repeated ids: every row gets the component of its own fingerprint.  The component's name is its smallest non-null id
+(null if it has none); rows with a null id take part.  An empty table gives an empty result.
 """
 
 from __future__ import annotations

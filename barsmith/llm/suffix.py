@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barsmith.llm import repeats
-from barsmith.llm.common import partitions_for, utf8
+from barsmith.llm.common import partitions_for, unused, utf8
 from barsmith.llm.rolling import Prefix, byte_codes, sliding_min, super_kmers
 
 BYTES = 100
@@ -286,9 +286,10 @@ def deduplicated(docs: DataFrame, k: int = BYTES, id_col: str = "doc_id", text_c
     Rows with a null id and rows with a null text come through as they are.
     """
     names = docs.columns
-    found = removals(docs, k, id_col, text_col).select(F.col("id").alias("__id"), F.col("hash").alias("__hash"), F.col("runs").alias("__runs"))
-    own = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = own.join(found, (own[id_col].cast("long") == found["__id"]) & (own["__hash"] == found["__hash"]), "left").select(*[own[c] for c in names], "__runs")
+    hash_, runs = unused(docs, "__hash"), unused(docs, "__runs")
+    found = removals(docs, k, id_col, text_col).select(F.col("id").alias("__id"), F.col("hash").alias("__other"), F.col("runs").alias(runs))
+    own = docs.withColumn(hash_, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    joined = own.join(found, (own[id_col].cast("long") == found["__id"]) & (own[hash_] == found["__other"]), "left").select(*[own[f"`{c}`"] for c in names], found[runs])
     where = names.index(text_col)
 
     def each(batches):

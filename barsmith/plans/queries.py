@@ -9,6 +9,7 @@ from barsmith.functions import scalar
 from barsmith.operators import audit, bars, book, query as reading, store, symbols
 from barsmith.operators.specs import CandleSpec
 from barsmith.plans.registry import query
+from barsmith.sources.sinks import REPORT
 from barsmith.sources import trades as tapes
 
 HOUR, DAY = 3_600_000, 86_400_000
@@ -440,3 +441,25 @@ def top_symbols(spark, d):
     name = F.concat(F.lit("USER"), F.col("user_id").cast("string"), F.when(F.col("user_id") % 3 == 0, F.lit("EUR")).otherwise(F.lit("USDT")))
     array = F.concat(F.lit('[{"symbol":"'), name, F.lit('","quoteVolume":"'), F.col("v").cast("string"), F.lit('"},{"symbol":"BADUSDT","quoteVolume":"none"}]'))
     return tapes.top_symbols(rows.select(array.alias("value")), 10)
+
+
+def _report_sql() -> str:
+    """The interval report by day: every bin counts in its own period (win) and in all later ones (glb)."""
+    base = f"(SELECT event_id, day * 86400000 AS period, event_id % 11 = 0 AS gap, event_id % 13 = 0 AS tick_error, lat AS feed, lat % 1000 AS internal, CAST(event_id AS BIGINT) AS audit FROM (SELECT event_id, CAST(floor(epoch_us(ts) / 86400000000) AS BIGINT) AS day, greatest(CAST(floor(value * 1000003) AS BIGINT) - 2000000, 0) AS lat FROM events))"
+    joins, columns = "", []
+    for name in ("feed", "internal", "audit"):
+        hist = f"(SELECT period, {_BIN.replace('raw', name)} AS bucket_start_ns, count(*) AS count, max({name}) AS top FROM {base} GROUP BY 1, 2)"
+        for scope, source in (("win", hist), ("glb", f"(SELECT p.period, bucket_start_ns, sum(count) AS count, max(top) AS top FROM {hist} h JOIN (SELECT DISTINCT period FROM {base}) p ON h.period <= p.period GROUP BY 1, 2)")):
+            label = f"{scope}_{name}"
+            joins += f" JOIN (SELECT period, {_reach(0.5)} AS p50, {_reach(0.99)} AS p99, {_reach(0.999)} AS p999, max(top) AS max FROM (SELECT *, sum(count) OVER (PARTITION BY period ORDER BY bucket_start_ns) AS upto, sum(count) OVER (PARTITION BY period) AS n FROM {source}) GROUP BY period) {label} USING (period)"
+            columns += [f"{label}.{p} AS {label}_{p}" for p in ("p50", "p99", "p999", "max")]
+    sums = f"(SELECT period, sum(c) OVER (ORDER BY period)::BIGINT AS total_candles, sum(g) OVER (ORDER BY period)::BIGINT AS gaps, sum(t) OVER (ORDER BY period)::BIGINT AS tick_errors FROM (SELECT period, count(*) AS c, sum(gap::BIGINT) AS g, sum(tick_error::BIGINT) AS t FROM {base} GROUP BY period))"
+    return f"SELECT period, total_candles, gaps, tick_errors, {', '.join(columns)} FROM {sums} {joins}"
+
+
+@query("interval_report", _report_sql())
+def interval_report(spark, d):
+    rows = _latencies(spark, d).withColumns({
+        "at": scalar.epoch_ms("ts"), "gap": F.col("event_id") % 11 == 0, "tick_error": F.col("event_id") % 13 == 0, "feed_latency": F.col("lat"), "internal_latency": F.col("lat") % 1000, "audit_latency": F.col("event_id"),
+    })
+    return audit.interval_report(rows.select("at", "gap", "tick_error", "feed_latency", "internal_latency", "audit_latency"), "at", DAY).select(*REPORT)

@@ -12,8 +12,19 @@ from barsmith.llm.tokenizers import pattern, vocabulary
 KEY = "example key of the registered query"
 
 QUERIES: dict = {}
-#: None of the contracts can be stated in the SQL of the driver within whole tables; tests hold them against brute force.
-SQL: dict[str, str] = {}
+#: What SQL can state over whole tables; tests hold the others against brute force.
+SQL: dict[str, str] = {
+    "op2_substring": """WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+        p AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM w),
+        g AS (SELECT doc_id, i, array_to_string(ws[i : i + 12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+        f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS first FROM g),
+        c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS pos FROM f WHERE first < doc_id),
+        k AS (SELECT p.doc_id, count(*) AS kept, string_agg(word, ' ' ORDER BY p.pos) AS text FROM p ANTI JOIN c USING (doc_id, pos) GROUP BY p.doc_id)
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)""",
+    "op4_top_k": """WITH v AS (SELECT vec_id, [floor(64 * CAST(x AS DOUBLE)) FOR x IN embedding] AS q FROM embeddings)
+        SELECT query_id, rank, vec_id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+            FROM (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)) WHERE rank <= 20""",
+}
 
 
 def query(f):

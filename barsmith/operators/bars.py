@@ -51,14 +51,11 @@ def bars(trades: DataFrame, spec: CandleSpec, width: int = WIDTH) -> DataFrame:
             F.sum(F.col("price") * F.col("volume")).alias("amount"), F.count("*").alias("tick_count"), F.min_by("trade_id", "arrival").alias("start_id"), F.max_by("trade_id", "arrival").alias("end_id"), F.max_by("ts", "arrival").alias("last_ts"),
         )
     )
-    # The number of a tick bar is its bucket; others are numbered by their first arrival.
-    done = grouped.withColumn("seq", F.col("bucket")) if spec.kind == "tick_count" else numbered(grouped, ["symbol"], "first_arrival", "seq", width)
-    if spec.kind == "tick_count":
-        done = done.withColumn("key", F.col("start_id")).withColumn("is_closed", F.col("tick_count") >= int(spec.threshold))
+    if spec.kind == "tick_count":  # the number of a tick bar is its bucket
+        done = grouped.withColumn("seq", F.col("bucket")).withColumn("key", F.col("start_id")).withColumn("is_closed", F.col("tick_count") >= int(spec.threshold))
     else:
-        last = done.groupBy("symbol").agg(F.max("seq").alias("__last"))
-        done = done.join(last, "symbol").withColumn("key", F.col("bucket"))
-        closed = F.col("seq") < F.col("__last")
+        done = numbered(grouped, ["symbol"], "first_arrival", "seq", width, "__bars").withColumn("key", F.col("bucket"))
+        closed = F.col("seq") < F.col("__bars") - 1
         if spec.kind == "tick_modulo":
             # The trade that completes an id block closes the bar, but a bar's first trade never does.
             closed = closed | ((F.col("tick_count") >= 2) & (F.pmod(F.col("end_id") + 1, F.lit(int(spec.threshold))) == 0))

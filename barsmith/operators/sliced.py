@@ -17,11 +17,14 @@ def _sliced(df: DataFrame, order: str, width: int) -> DataFrame:
     return df.withColumn("__slice", F.floor(F.col(order) / width).cast("long"))
 
 
-def numbered(df: DataFrame, by: list[str], order: str, out: str, width: int = WIDTH) -> DataFrame:
-    """0-based position of each row in its group, by the unique integer ``order``."""
+def numbered(df: DataFrame, by: list[str], order: str, out: str, width: int = WIDTH, total: str | None = None) -> DataFrame:
+    """0-based position of each row in its group, by the unique integer ``order``; with ``total`` the size of the group too."""
     cut = _sliced(df, order, width)
     before = Window.partitionBy(*by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    counts = cut.groupBy(*by, "__slice").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    counts = cut.groupBy(*by, "__slice").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    if total:
+        counts = counts.withColumn(total, F.sum("__n").over(Window.partitionBy(*by)))
+    counts = counts.drop("__n")
     at = F.row_number().over(Window.partitionBy(*by, "__slice").orderBy(order)) - 1
     return cut.withColumn("__at", at).join(counts, [*by, "__slice"]).withColumn(out, (F.col("__before") + F.col("__at")).cast("long")).drop("__slice", "__at", "__before")
 

@@ -49,6 +49,7 @@ def bars(trades: DataFrame, spec: CandleSpec, width: int = WIDTH) -> DataFrame:
         .agg(
             F.min("arrival").alias("first_arrival"), F.min_by("price", "arrival").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "arrival").alias("close"), F.sum("volume").alias("volume"),
             F.sum(F.col("price") * F.col("volume")).alias("amount"), F.count("*").alias("tick_count"), F.min_by("trade_id", "arrival").alias("start_id"), F.max_by("trade_id", "arrival").alias("end_id"), F.max_by("ts", "arrival").alias("last_ts"),
+            *[F.max_by(c, "arrival").alias(c) for c in spec.last],
         )
     )
     if spec.kind == "tick_count":  # the number of a tick bar is its bucket
@@ -60,7 +61,7 @@ def bars(trades: DataFrame, spec: CandleSpec, width: int = WIDTH) -> DataFrame:
             # The trade that completes an id block closes the bar, but a bar's first trade never does.
             closed = closed | ((F.col("tick_count") >= 2) & (F.pmod(F.col("end_id") + 1, F.lit(int(spec.threshold))) == 0))
         done = done.withColumn("is_closed", closed)
-    return done.withColumn("candle_type", F.lit(spec.name)).select(*BASE, *spec.fields)
+    return done.withColumn("candle_type", F.lit(spec.name)).select(*BASE, *spec.fields, *spec.last)
 
 
 def all_bars(trades: DataFrame, specs: list[CandleSpec], width: int = WIDTH) -> DataFrame:

@@ -20,6 +20,7 @@ class CandleSpec:
     """A named bar type.
 
     ``threshold``: trades (``tick_count``, at least 2), the id step (``tick_modulo``), milliseconds (``time_fixed``) or volume.
+    ``last``: further columns of the tape of which a bar has its last trade's value, such as exchange or local times.
     ``unit``: day, week or month for ``calendar``.  ``init``/``update``: user code for ``fold`` (see ``bars.fold_bars``).
     """
 
@@ -28,6 +29,7 @@ class CandleSpec:
     threshold: float = 0
     unit: str = ""
     fields: tuple[str, ...] = FIELDS
+    last: tuple[str, ...] = ()
     init: Callable | None = None
     update: Callable | None = None
 
@@ -46,6 +48,10 @@ class CandleSpec:
             raise ValueError(f"unit must be one of {UNITS}")
         if (self.kind == "fold") != (self.init is not None and self.update is not None):
             raise ValueError("fold takes init and update, both of them; other kinds take neither")
+        if self.last and self.kind in ("fold", "volume"):
+            raise ValueError(f"{self.kind} bars have the fields that their code makes")
+        if taken := [c for c in self.last if c in BASE + FIELDS]:
+            raise ValueError(f"columns {taken} are taken")
         if unknown := [f for f in self.fields if f not in FIELDS] if self.kind != "fold" else []:
             raise ValueError(f"unknown fields {unknown}")
 

@@ -105,6 +105,15 @@ def bars_amount(spark, d):
     return made.select("symbol", "seq", F.round("amount", 4).alias("amount"), F.round(F.col("amount") / F.col("volume"), 6).alias("vwap"))
 
 
+@query("bars_last_times", f"SELECT b.symbol, b.seq, b.close, 1700000000000000000 + b.end_id * 1234567891 AS feed_ts, 1700000000000000000 + b.end_id * 1234567891 + 700 AS local_ts FROM {_MODULO} b")
+def bars_last_times(spark, d):
+    """Bars with the feed and local time of their last trade."""
+    feed = F.lit(1700000000000000000) + F.col("trade_id") * 1234567891
+    tape = tapes.events(spark, d).withColumn("feed_ts", feed).withColumn("local_ts", feed + 700)
+    spec = CandleSpec("modulo10", "tick_modulo", 10, fields=("close",), last=("feed_ts", "local_ts"))
+    return bars.bars(tape, spec).select("symbol", "seq", "close", "feed_ts", "local_ts")
+
+
 @query("bars_open_only", _select(_HOURS, where="WHERE NOT is_closed"))
 def bars_open_only(spark, d):
     return _out(_hours(spark, d).where("NOT is_closed"))

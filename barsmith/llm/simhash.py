@@ -11,8 +11,8 @@ Linking works on *distinct* fingerprints, so exact copies cost one row each:
    fingerprint is dealt to its 20 triples of blocks and meets its neighbours in one of them;
 3. within a triple, a pair is discarded if its pivot distances differ by more than ``most`` anywhere (the triangle
    inequality makes this safe) and verified by its Hamming distance otherwise.  A triple's fingerprints yield a
-   spanning forest, never all pairs.  A triple of over ``HOT`` fingerprints is first cut by further bits: of four
-   blocks of the other bits two neighbours agree in one at least.  So no task holds an unbounded group;
+   spanning forest, never all pairs.  A triple of over ``HOT`` fingerprints is cut into blocks, and each pair of blocks is
+   one task's work: no task holds an unbounded group and no link is lost;
 4. components come from alternating large-star and small-star steps over the forest, each written to the shared folder.
 
 Repeated ids: every row gets the component of its own fingerprint.  The component's name is its smallest non-null id
@@ -33,7 +33,7 @@ from barsmith.llm.common import utf8, written
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 PIVOTS = 16
-HOT = 4096
+HOT = 8192
 _CUTS = (0, 11, 22, 33, 43, 53, 64)
 
 
@@ -132,18 +132,11 @@ def links(prints: DataFrame, most: int = 3) -> DataFrame:
     deals = F.array(*[F.struct(F.lit(i).alias("no"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for i, m in enumerate(masks)])
     dealt = prints.select("fp", F.explode(deals).alias("k")).select("fp", "k.no", "k.bits")
     counts = dealt.groupBy("no", "bits").agg(F.count("*").alias("n")).where("n > 1")
-    met = dealt.join(counts, ["no", "bits"])
-    # The other bits of a hot triple, in four parts by the order of the bits; part 0 stands for an uncut triple.
-    parts = []
-    for m in masks:
-        other, out = [i for i in range(64) if not m >> i & 1], []
-        for p in range(4):
-            out.append(sum(1 << i for i in other[p * len(other) // 4 : (p + 1) * len(other) // 4]))
-        parts.append(out)
-    finer = F.element_at(F.array(*[F.array(*[F.lit(_signed(x)) for x in p]) for p in parts]), F.col("no") + 1)
-    cut = F.when(F.col("n") > HOT, F.transform(finer, lambda m: F.struct(m.alias("part"), F.col("fp").bitwiseAND(m).alias("more")))).otherwise(F.array(F.struct(F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("more"))))
-    met = met.select("no", "bits", "fp", F.explode(cut).alias("c")).select("no", "bits", "fp", "c.part", "c.more")
-    gathered = met.groupBy("no", "bits", "part", "more").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1").select("fps")
+    # A crowded triple is cut into blocks by a hash, and each pair of blocks is a cell of its own.
+    met = dealt.join(counts, ["no", "bits"]).withColumn("cut", F.ceil(F.col("n") / HOT).cast("int"))
+    met = met.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("cut")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1))).where("cut = 1 OR own != other")
+    cells = met.groupBy("no", "bits", F.least("own", "other").alias("row"), F.greatest("own", "other").alias("col"))
+    gathered = cells.agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1").select("fps")
 
     def within(batches):
         for batch in batches:

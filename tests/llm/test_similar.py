@@ -29,7 +29,7 @@ def test_simhash(spark):
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
-@pytest.mark.parametrize("hot", [4096, 3])
+@pytest.mark.parametrize("hot", [8192, 3])
 def test_links_lose_nothing(spark, monkeypatch, hot):
     """Random and crowded fingerprints, also when every bucket counts as hot."""
     monkeypatch.setattr(simhash, "HOT", hot)
@@ -62,7 +62,7 @@ def shingles(t):
     return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
 
 
-@pytest.mark.parametrize("hot", [2048, 3])
+@pytest.mark.parametrize("hot", [1024, 3])
 def test_near_copies(spark, monkeypatch, hot):
     monkeypatch.setattr(nearcopies, "HOT", hot)
     rows = corpus.texts()
@@ -112,3 +112,17 @@ def test_single_and_empty(spark):
     assert r.near_next == 1.0 and r.edited_sha256 == hashlib.sha256(b"abcabc").hexdigest()
     empty = corpus.table(spark, [])
     assert lempel.edits(empty).count() == 0 and simhash.near_duplicates(empty).count() == 0 and nearcopies.classes(empty).count() == 0
+
+
+def test_cells():
+    rnd = np.random.default_rng(8)
+    sets = [np.unique(rnd.integers(0, 60, 50)).astype(np.uint64) for _ in range(40)]
+    assert (nearcopies.shared(sets[:25], sets[25:]) == [[len(np.intersect1d(a, b)) for b in sets[25:]] for a in sets[:25]]).all()
+    prints, ids = np.zeros(40, np.uint64), np.arange(40)
+    for few in (0, 10**6):
+        nearcopies.FEW, kept = few, nearcopies.FEW
+        for side in (np.zeros(40, int), np.arange(40) % 2):
+            edges = {frozenset(e) for e in nearcopies.cell_forest(ids, prints, sets, side, 0.5)}
+            meet = lambda a, b: (side[a] != side[b] or not side.any()) and jaccard(frozenset(sets[a]), frozenset(sets[b])) >= 0.5  # noqa: B023, E731
+            assert corpus.components(range(40), lambda a, b: frozenset((a, b)) in edges) == corpus.components(range(40), meet)  # noqa: B023
+        nearcopies.FEW = kept

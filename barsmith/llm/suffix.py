@@ -8,8 +8,9 @@ the leaves.  An interval whose members differ in the byte on their left (or have
 by construction not to the right: it is a maximal repeat, and it is output with *all* its members, not just neighbours.  Of
 these the first, by id and place, stays; the others are covered for the full length.
 
-The suffixes of a minimiser that many sequences share are split by the hash of their first k bytes, over as many rows as
-it takes: an interval of k bytes or more lies within one such class, so no task needs the whole group.
+A minimiser that many sequences share (a common line in ever other surroundings) is dealt by two further minimisers of each
+window, taken beside the first: equal windows have equal ones, and different surroundings different ones, so the crowd is
+spread over many tasks and no repeat is lost.
 
 Null texts are empty; rows with a null id are kept whole; rows with one id count as one document, compared by place;
 repeated rows are cut alike; other columns are not read.  Matches never cross documents.
@@ -24,11 +25,12 @@ from pyspark.sql import functions as F
 
 from barsmith.llm import repeats
 from barsmith.llm.common import partitions_for, unused, utf8
-from barsmith.llm.rolling import Prefix, byte_codes, sliding_min, super_kmers
+from barsmith.llm.rolling import Prefix, byte_codes, mix, sliding_min, super_kmers
 
 BYTES = 100
 GRAM = 20
-SEQUENCES = 4096
+#: Sequences above which a minimiser counts as crowded, and parts of the join that says so.
+SEQUENCES, SALTS = 512, 16
 #: Sequences, of under 2 k bytes each, that one scan takes at a time.
 ROWS_HELD = 8192
 
@@ -136,16 +138,13 @@ def maximal_repeats(shared: list[int], left: list[int], rank: list[int], k: int)
     return found
 
 
-def repeats_within(text: np.ndarray, at: np.ndarray, n: np.ndarray, source: np.ndarray, place: np.ndarray, k: int, part=None, parts=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeats_within(text: np.ndarray, at: np.ndarray, n: np.ndarray, source: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Repeated windows (sequence, first window, windows) of the sequences ``text[at[i]:at[i + 1]]`` with ``n[i]`` windows each,
-    from ``place[i]`` of document ``source[i]``; of split sequences only windows of class ``part[i]`` of ``parts[i]``."""
+    from ``place[i]`` of document ``source[i]``."""
     owner = np.repeat(np.arange(len(n)), n)
     no = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     start = at[:-1][owner] + no
     klass = Prefix(byte_codes(1)[text], 1).slices(start, start + k)
-    if parts is not None and (parts > 1).any():
-        own = np.flatnonzero(klass % parts[owner].astype(np.uint64) == part[owner].astype(np.uint64))
-        owner, no, start, klass = owner[own], no[own], start[own], klass[own]
     who, shared = suffix_array(text, start, at[1:][owner], klass, k)
     if not len(who):
         return (np.zeros(0, np.int64),) * 3
@@ -176,13 +175,39 @@ def repeats_within(text: np.ndarray, at: np.ndarray, n: np.ndarray, source: np.n
     return of, begin - base[of], finish - begin
 
 
-_STRINGS = "mini long, sk long, id long, start int, n int, part int, parts int, text binary"
+def pieces(text: np.ndarray, mini: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, windows, key) of the runs of windows of ``text`` with one key.
+
+    The key of a window is made of two further minimisers, by other orders, from grams that do not overlap the first
+    minimiser (its leftmost place in the window) nor each other.  It depends on the window alone, so equal windows have
+    equal keys, and it looks where a crowd that shares one line differs.
+    """
+    gram = min(GRAM, k)
+    grams = Prefix(byte_codes(0)[text]).grams(gram)
+    views = np.lib.stride_tricks.sliding_window_view(grams, k - gram + 1)
+    places = np.arange(views.shape[1])
+    free, last = np.ones(views.shape, bool), np.iinfo(np.uint64).max
+    at, key = (views == np.uint64(mini)).argmax(axis=1), np.zeros(len(views), np.uint64)
+    for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        free &= np.abs(places[None, :] - at[:, None]) >= gram
+        values = np.where(free, np.lib.stride_tricks.sliding_window_view(mix(grams ^ np.uint64(salt)), views.shape[1]), last)
+        at = values.argmin(axis=1)
+        key = mix(key ^ values.min(axis=1))
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return new, np.diff(np.append(new, len(key))), key[new]
+
+
+_STRINGS = "mini long, part long, sk long, id long, start int, shift int, n int, text binary"
 
 
 def _strings(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
-    """The bytes of every representative, once for each part of its minimiser that it has windows in."""
-    crowd = reps.groupBy("mini").agg(F.ceil(F.count("*") / SEQUENCES).cast("int").alias("parts"))
-    wanted = reps.join(crowd, "mini").groupBy("id", "hash").agg(F.collect_list(F.struct("mini", "sk", "start", "n", "parts")).alias("wanted"))
+    """The bytes of every representative; those of crowded minimisers in pieces."""
+    # Only crowded minimisers are named, which are few, and for each salt, so that the join does not gather a crowd in one task.
+    salt = F.pmod(F.col("sk"), F.lit(SALTS))
+    crowd = reps.groupBy("mini").agg(F.count("*").alias("n")).where(F.col("n") > SEQUENCES).select("mini", F.lit(True).alias("crowd"))
+    crowd = crowd.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    marked = reps.withColumn("salt", salt).join(crowd, ["mini", "salt"], "left")
+    wanted = marked.groupBy("id", "hash").agg(F.collect_list(F.struct("mini", "sk", "start", "n", F.coalesce("crowd", F.lit(False)).alias("crowd"))).alias("wanted"))
 
     def each(batches):
         for batch in batches:
@@ -190,21 +215,19 @@ def _strings(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
             data, at = utf8(batch.column(1))
             lists = batch.column(2)
             items, per = lists.flatten(), np.diff(np.asarray(lists.offsets))
-            mini, sk, start, n, parts = (np.asarray(items.field(f)) for f in ("mini", "sk", "start", "n", "parts"))
+            mini, sk, start, n, crowd = (items.field(f).to_numpy(zero_copy_only=False) for f in ("mini", "sk", "start", "n", "crowd"))
             owner = np.repeat(np.arange(len(ids)), per)
-            texts = [data[a : a + m + k - 1].tobytes() for a, m in zip((at[owner] + start).tolist(), n.tolist())]
-            row, part = np.arange(len(mini)), np.zeros(len(mini), np.int64)
-            split = np.flatnonzero(parts > 1)
-            if len(split):
-                rows, picks = [np.flatnonzero(parts <= 1)], [np.zeros((parts <= 1).sum(), np.int64)]
-                for i in split:
-                    classes = Prefix(byte_codes(1)[np.frombuffer(texts[i], np.uint8)], 1).grams(k)
-                    own = np.unique(classes % np.uint64(parts[i])).astype(np.int64)
-                    rows.append(np.full(len(own), i))
-                    picks.append(own)
-                row, part = np.concatenate(rows), np.concatenate(picks)
-            out = [pa.array(x[row]) for x in (mini, sk, ids[owner], start, n)]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(part.astype(np.int32)), pa.array(parts[row]), pa.array([texts[i] for i in row], pa.binary())], ["mini", "sk", "id", "start", "n", "part", "parts", "text"])
+            begin = at[owner] + start
+            row, part, shift, size = np.flatnonzero(~crowd), np.zeros((~crowd).sum(), np.int64), np.zeros((~crowd).sum(), np.int64), n[~crowd].astype(np.int64)
+            split = [(i, *pieces(data[begin[i] : begin[i] + n[i] + k - 1], mini.view(np.uint64)[i], k)) for i in np.flatnonzero(crowd)]
+            if split:
+                row = np.concatenate([row, *(np.full(len(key), i) for i, _, _, key in split)])
+                part = np.concatenate([part, *(key.view(np.int64) for *_, key in split)])
+                shift = np.concatenate([shift, *(first for _, first, _, _ in split)])
+                size = np.concatenate([size, *(m for _, _, m, _ in split)])
+            texts = [data[a : a + m + k - 1].tobytes() for a, m in zip((begin[row] + shift).tolist(), size.tolist())]
+            columns = [pa.array(x) for x in (mini[row], part, sk[row], ids[owner[row]], start[row], shift.astype(np.int32), size.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.binary())], ["mini", "part", "sk", "id", "start", "shift", "n", "text"])
 
     return docs.join(wanted, ["id", "hash"]).select("id", "text", "wanted").mapInArrow(each, _STRINGS)
 
@@ -214,9 +237,10 @@ def _scan(strings: DataFrame, k: int) -> DataFrame:
 
     def scan(table: pa.Table):
         table = table.combine_chunks()
-        mini, sk, source, place, n, part, parts = (np.asarray(table.column(c)) for c in ("mini", "sk", "id", "start", "n", "part", "parts"))
+        mini, sk, source, place, shift, n = (np.asarray(table.column(c)) for c in ("mini", "sk", "id", "start", "shift", "n"))
         text, at = utf8(table.column("text"))
-        owner, first, size = repeats_within(text, at, n.astype(np.int64), source, place.astype(np.int64), k, part, parts)
+        owner, first, size = repeats_within(text, at, n.astype(np.int64), source, place.astype(np.int64) + shift, k)
+        first = first + shift[owner]
         return pa.RecordBatch.from_arrays([pa.array(mini[owner]), pa.array(sk[owner]), pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32))], ["mini", "sk", "at", "n"])
 
     def each(batches):
@@ -225,7 +249,7 @@ def _scan(strings: DataFrame, k: int) -> DataFrame:
             # Rows come sorted: what is held is scanned at the start of a group, so groups stay whole.
             if not batch.num_rows:
                 continue
-            key = np.stack([np.asarray(batch.column(0)), np.asarray(batch.column(5)).astype(np.int64)])
+            key = np.stack([np.asarray(batch.column(0)), np.asarray(batch.column(1))])
             before = np.array(held[-1][1]) if held else None
             cuts = np.flatnonzero((np.diff(key, axis=1) != 0).any(axis=0)) + 1
             if before is not None and (key[:, 0] != before).any():

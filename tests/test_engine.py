@@ -145,3 +145,14 @@ def test_engine_config():
     for bad in (dict(specs=()), dict(specs=(MINUTE,) * 2), dict(specs=(MINUTE,), max_symbols=0), dict(specs=(MINUTE,), trade_flush=(f, None)), dict(specs=(MINUTE,), book_state=(f, f, None)), dict(specs=tuple(CandleSpec(str(i), "time_fixed", 1) for i in range(33)))):
         with pytest.raises(ValueError):
             EngineConfig(**bad)
+
+
+def test_workloads(spark):
+    from barsmith.plans import workloads
+
+    assert [r.FeedCountPerSec > 0 for r in workloads.feed(spark, 2000, 8).collect()] == [True, True]
+    made = bars(spark.createDataFrame(random_tape(5, 300, ("a",)), TAPE), CandleSpec("t", "tick_count", 2)).cache()
+    got = workloads.reads(spark, CandleReader(made), "a", "t", sizes=(3, 1000), fields=(None, ("close",)), queries=2, offsets=100).collect()
+    assert len(got) == 8 and all(r.FailedQueries == (2 if r.QuerySize == 1000 else 0) for r in got) and {r.NumFields for r in got} == {10, 1}
+    with pytest.raises(LookupError):
+        workloads.reads(spark, CandleReader(made), "z", "t")

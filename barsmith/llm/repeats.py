@@ -11,7 +11,10 @@ windows have equal minimisers, so all occurrences of a window meet under one min
 
 Hot keys: before anything is dealt, each task resolves repetitions among some ``HELD`` super-k-mers by itself and sends
 one occurrence of each sequence, so a passage found in a third of all documents costs a row for each such block.  What
-is resolved goes on under a key of its own.
+is resolved goes on under a key of its own.  A minimiser may also be hot because one short line stands in ever other
+surroundings.  A first pass finds such *crowds*, by their different sequences in each block; their windows are dealt by
+two further minimisers taken beside the first (``rolling.side_keys``).  That is a matter of routing only: equal windows go
+the same way whatever the first pass found.
 
 Sequences are compared by two independent 64-bit hashes (minimiser and content).  Ids are integers; rows with a null id
 take no part; rows with one id count as one document; rows are told apart by their id and the hash of their text.
@@ -30,6 +33,9 @@ from barsmith.llm.common import groups, utf8, written
 
 HELD = 1 << 18
 TEXT_BYTES = 1 << 19
+#: Sequences under one minimiser that make it a crowd in a block.  Over all blocks a quarter of that on average is asked, so
+#: there are at most 4 * HELD / CROWD crowds, whatever the corpus: that is what the second pass is sent.
+CROWD = 64
 ROWS = "mini long, sk long, id long, hash long, start int, n int, loop boolean, done boolean"
 
 
@@ -39,16 +45,56 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text")).where("id IS NOT NULL")
 
 
+def _blocks(batches, cut: Callable, crowd: np.ndarray):
+    """Columns (minimiser, content, id, hash, start, n, loop) of blocks of about ``HELD`` super-k-mers."""
+    held, size = [], 0
+    for batch in batches:
+        ids, hashes = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        data, at = utf8(batch.column(2))
+        for a, b in groups(at, TEXT_BYTES):
+            owner, *rest = cut(data[at[a] : at[b]], at[a : b + 1] - at[a], crowd)
+            if len(owner):
+                held.append((rest[0], rest[1], ids[a:b][owner], hashes[a:b][owner], *rest[2:]))
+                size += len(owner)
+            if size >= HELD:
+                yield [np.concatenate(x) for x in zip(*held)]
+                held, size = [], 0
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def crowds(docs: DataFrame, cut: Callable) -> np.ndarray:
+    """Minimisers with many different sequences throughout the corpus, ascending; a bounded number."""
+
+    def each(batches):
+        minis, sizes, blocks = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+        for mini, sk, *_ in _blocks(batches, cut, np.zeros(0, np.uint64)):
+            order = np.lexsort((sk, mini))
+            m, s = mini[order], sk[order]
+            first = np.concatenate([[True], (m[1:] != m[:-1]) | (s[1:] != s[:-1])])
+            names, n = np.unique(m[first], return_counts=True)
+            minis.append(names[n > CROWD])
+            sizes.append(n[n > CROWD])
+            blocks += 1
+        names = pa.array([None, *np.concatenate(minis).view(np.int64).tolist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([names, pa.array([blocks, *np.concatenate(sizes).tolist()], pa.int64())], ["mini", "n"])
+
+    found = written(docs.mapInArrow(each, "mini long, n long").groupBy("mini").agg(F.sum("n").alias("n")), "crowds")
+    row = found.where("mini IS NULL").first()
+    blocks = row[1] if row else 0
+    rows = found.where((F.col("n") * 4 >= CROWD * blocks) & F.col("mini").isNotNull()).select("mini").collect()
+    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+
+
 def super_rows(docs: DataFrame, cut: Callable, by_start: bool) -> DataFrame:
     """Super-k-mers of ``keyed`` documents.
 
-    ``cut(data, at)`` gives, for the texts ``data[at[i]:at[i + 1]]``, arrays (owner, minimiser, content, start, n, loop).
+    ``cut(data, at, crowd)`` gives, for the texts ``data[at[i]:at[i + 1]]``, arrays (owner, minimiser, content, start, n, loop).
     ``by_start``: an occurrence is earlier by id and then start, not by id alone.
     """
+    crowd = crowds(docs, cut)
 
-    def flush(held):
-        cols = [np.concatenate(x) for x in zip(*held)]
-        mini, sk, id_, hash_, start, n, loop = cols
+    def flush(mini, sk, id_, hash_, start, n, loop):
         order = np.lexsort((start, id_, sk, mini)) if by_start else np.lexsort((id_, sk, mini))
         m, s, i, st = mini[order], sk[order], id_[order], start[order]
         new = np.ones(len(m), bool)
@@ -67,20 +113,8 @@ def super_rows(docs: DataFrame, cut: Callable, by_start: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(mini[a:b].view(np.int64)), pa.array(sk[a:b].view(np.int64)), pa.array(id_[a:b]), pa.array(hash_[a:b]), pa.array(start[a:b].astype(np.int32)), pa.array(n[a:b].astype(np.int32)), pa.array(loop[a:b]), pa.array(done[a:b])], ["mini", "sk", "id", "hash", "start", "n", "loop", "done"])
 
     def each(batches):
-        held, size = [], 0
-        for batch in batches:
-            ids, hashes = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            data, at = utf8(batch.column(2))
-            for a, b in groups(at, TEXT_BYTES):
-                owner, *rest = cut(data[at[a] : at[b]], at[a : b + 1] - at[a])
-                if len(owner):
-                    held.append((rest[0], rest[1], ids[a:b][owner], hashes[a:b][owner], *rest[2:]))
-                    size += len(owner)
-                if size >= HELD:
-                    yield from flush(held)
-                    held, size = [], 0
-        if held:
-            yield from flush(held)
+        for block in _blocks(batches, cut, crowd):
+            yield from flush(*block)
 
     return docs.mapInArrow(each, ROWS)
 

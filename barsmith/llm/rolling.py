@@ -93,6 +93,40 @@ def super_kmers(least: np.ndarray, windows: np.ndarray, longest: int) -> tuple[n
     return windows[at], size
 
 
+def side_keys(views: np.ndarray, least: np.ndarray, gram: int) -> np.ndarray:
+    """A key of each window (a row of its grams' hashes) from two further minimisers.
+
+    They are taken by other orders, from grams that overlap neither the first minimiser (``least``, at its leftmost place in
+    the window) nor each other.  The key depends on the window alone, so equal windows have equal keys, and it looks where
+    windows that share one short passage differ.
+    """
+    places, last = np.arange(views.shape[1]), np.iinfo(np.uint64).max
+    free, at, key = np.ones(views.shape, bool), (views == least[:, None]).argmax(axis=1), np.zeros(len(views), U)
+    for salt in _ODD[:2]:
+        free &= np.abs(places[None, :] - at[:, None]) >= gram
+        values = np.where(free, mix(views ^ U(salt)), last)
+        at = values.argmin(axis=1)
+        key = mix(key ^ values.min(axis=1))
+    return key
+
+
+def split_crowded(grams: np.ndarray, run: np.ndarray, size: np.ndarray, least: np.ndarray, crowd: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs whose minimiser is in ``crowd`` cut to runs with one side key, and that key mixed into their minimisers."""
+    hit = np.isin(least, crowd)
+    if not hit.any():
+        return run, size, least
+    owner = np.repeat(np.flatnonzero(hit), size[hit])
+    start = run[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(size[hit]) - size[hit], size[hit])
+    views = np.lib.stride_tricks.sliding_window_view(grams, width)
+    key = np.concatenate([side_keys(views[start[a : a + 2048]], least[owner[a : a + 2048]], gram) for a in range(0, len(start), 2048)])
+    at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]))
+    run = np.concatenate([run[~hit], start[at]])
+    size = np.concatenate([size[~hit], np.diff(np.append(at, len(key)))])
+    least = np.concatenate([least[~hit], mix(least[owner[at]] ^ key[at])])
+    order = np.argsort(run, kind="stable")
+    return run[order], size[order], least[order]
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 

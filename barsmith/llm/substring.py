@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from barsmith.llm import repeats
 from barsmith.llm.common import groups, utf8
-from barsmith.llm.rolling import Prefix, byte_codes, sliding_min, super_kmers, words
+from barsmith.llm.rolling import Prefix, byte_codes, sliding_min, split_crowded, super_kmers, words
 
 WORDS = 13
 GRAM = 4
@@ -35,18 +35,20 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 def _cutter(k: int):
     gram = min(GRAM, k)
 
-    def cut(data, at):
+    def cut(data, at, crowd):
         start, end, first = words(data, at)
         codes = Prefix(byte_codes(0)[data]).slices(start, end)
         n = len(codes) - k + 1
         if n <= 0:
             return (np.zeros(0, np.int64),) * 6
         owner = np.repeat(np.arange(len(at) - 1), np.diff(first))
-        least = sliding_min(Prefix(codes, 1).grams(gram), k - gram + 1)
+        grams = Prefix(codes, 1).grams(gram)
+        least = sliding_min(grams, k - gram + 1)
         run, size = super_kmers(least, np.flatnonzero(owner[:n] == owner[k - 1 :]), _LONGEST)
+        run, size, mini = split_crowded(grams, run, size, least[run], crowd, k - gram + 1, gram)
         content = Prefix(codes, 2).slices(run, run + size + k - 1)
         of = owner[run]
-        return of, least[run], content, run - first[of], size, np.zeros(len(run), bool)
+        return of, mini, content, run - first[of], size, np.zeros(len(run), bool)
 
     return cut
 

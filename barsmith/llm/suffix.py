@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from barsmith.llm import repeats
 from barsmith.llm.common import partitions_for, unused, utf8
-from barsmith.llm.rolling import Prefix, byte_codes, mix, sliding_min, super_kmers
+from barsmith.llm.rolling import Prefix, byte_codes, side_keys, sliding_min, split_crowded, super_kmers
 
 BYTES = 100
 GRAM = 20
@@ -39,7 +39,7 @@ def _cutter(k: int):
     gram = min(GRAM, k)
     width = k - gram + 1
 
-    def cut(data, at):
+    def cut(data, at, crowd):
         sums = Prefix(byte_codes(0)[data])
         grams = sums.grams(gram)
         least = sliding_min(grams, width)
@@ -51,6 +51,7 @@ def _cutter(k: int):
         np.add.at(inside, at[:-1][some], 1)
         np.add.at(inside, ends[some], -1)
         run, size = super_kmers(least, np.flatnonzero(np.cumsum(inside[:-1]) > 0), width)
+        run, size, mini = split_crowded(grams, run, size, least[run], crowd, width, gram)
         owner = np.searchsorted(at, run, side="right") - 1
         # A sequence in which its minimiser stands twice may repeat a window within itself.
         most = ~sliding_min(~np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)]), width)
@@ -60,7 +61,7 @@ def _cutter(k: int):
         hi = np.searchsorted(chosen, run + size + width - 1)
         loop = again[np.maximum(hi - 1, lo).clip(0, len(again) - 1)] > again[lo.clip(0, len(again) - 1)]
         content = Prefix(byte_codes(3)[data], 3).slices(run, run + size + k - 1)
-        return owner, least[run], content, run - at[owner], size, loop
+        return owner, mini, content, run - at[owner], size, loop
 
     return cut
 
@@ -176,23 +177,10 @@ def repeats_within(text: np.ndarray, at: np.ndarray, n: np.ndarray, source: np.n
 
 
 def pieces(text: np.ndarray, mini: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, windows, key) of the runs of windows of ``text`` with one key.
-
-    The key of a window is made of two further minimisers, by other orders, from grams that do not overlap the first
-    minimiser (its leftmost place in the window) nor each other.  It depends on the window alone, so equal windows have
-    equal keys, and it looks where a crowd that shares one line differs.
-    """
+    """(first window, windows, key) of the runs of windows of ``text`` with one side key."""
     gram = min(GRAM, k)
-    grams = Prefix(byte_codes(0)[text]).grams(gram)
-    views = np.lib.stride_tricks.sliding_window_view(grams, k - gram + 1)
-    places = np.arange(views.shape[1])
-    free, last = np.ones(views.shape, bool), np.iinfo(np.uint64).max
-    at, key = (views == np.uint64(mini)).argmax(axis=1), np.zeros(len(views), np.uint64)
-    for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-        free &= np.abs(places[None, :] - at[:, None]) >= gram
-        values = np.where(free, np.lib.stride_tricks.sliding_window_view(mix(grams ^ np.uint64(salt)), views.shape[1]), last)
-        at = values.argmin(axis=1)
-        key = mix(key ^ values.min(axis=1))
+    views = np.lib.stride_tricks.sliding_window_view(Prefix(byte_codes(0)[text]).grams(gram), k - gram + 1)
+    key = side_keys(views, np.full(len(views), mini, np.uint64), gram)
     new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     return new, np.diff(np.append(new, len(key))), key[new]
 

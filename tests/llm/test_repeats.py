@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from barsmith.llm import substring, suffix
+from barsmith.llm import repeats, substring, suffix
 from barsmith.llm.rolling import Prefix, byte_codes, sliding_min
 
 
@@ -20,12 +20,19 @@ def test_bytes(spark, k):
     assert sorted(((*r[:4], bytes(r[4])) for r in got), key=repr) == corpus.without_bytes(corpus.texts(), k)
 
 
-def test_split_groups(spark, monkeypatch):
-    """Minimisers with more sequences than one row may hold are split without loss."""
+@pytest.mark.parametrize("crowd", [64, 1])
+def test_split_groups(spark, monkeypatch, crowd):
+    """Crowds are split without loss, before the scan and in it."""
     monkeypatch.setattr(suffix, "SEQUENCES", 2)
     monkeypatch.setattr(suffix, "ROWS_HELD", 3)
+    monkeypatch.setattr(repeats, "CROWD", crowd)
+    if crowd == 1:
+        own = repeats.keyed(corpus.table(spark), "doc_id", "text")
+        assert len(repeats.crowds(own, suffix._cutter(40))) > 10 and len(repeats.crowds(own, substring._cutter(13))) > 5
     got = suffix.without_repeats(corpus.table(spark), 40).collect()
     assert sorted(((*r[:4], bytes(r[4])) for r in got), key=repr) == corpus.without_bytes(corpus.texts(), 40)
+    got = substring.without_repeats(corpus.table(spark), 13).collect()
+    assert sorted(((r[0], r[1], r[2], bytes(r[3])) for r in got), key=repr) == corpus.without_words(corpus.texts(), 13)
 
 
 def test_whole_characters(spark):

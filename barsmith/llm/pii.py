@@ -84,7 +84,7 @@ def _put(m: str, digits: str) -> str:
 def _luhn(d: str) -> str:
     """Sum of a digit string by Luhn, modulo ten."""
     at = f"cast(substr({d}, j, 1) AS int) * (CASE WHEN (length({d}) - j) % 2 = 1 THEN 2 ELSE 1 END)"
-    return f"(aggregate(sequence(1, length({d})), 0, (t, j) -> t + ({at}) div 10 + ({at}) % 10, t -> cast(t % 10 AS int)))".replace("0, (t", "cast(0 AS bigint), (t")
+    return f"aggregate(sequence(1, length({d})), cast(0 AS bigint), (t, j) -> t + ({at}) div 10 + ({at}) % 10, t -> cast(t % 10 AS int))"
 
 
 def _mod97(s: str) -> str:
@@ -113,9 +113,7 @@ def _date(key: str, m: str) -> tuple[str, str]:
     # A day that is written day first only because it can't be otherwise stays one: the walk goes on until it is.
     good = "(NOT w.o OR day(date_add(DATE'1800-01-01', cast(w.x AS int))) > 12)"
     walked = f"aggregate(sequence(1, 200), named_struct('x', {number}, 'n', 0, 'o', f.f = 'only'), (w, q) -> CASE WHEN w.n > 0 AND {good} THEN w ELSE named_struct('x', {step}, 'n', w.n + 1, 'o', w.o) END, w -> date_add(DATE'1800-01-01', cast(w.x AS int)))"
-    wide = lambda k: f"length(element_at({p}, {k}))"
     text = f"CASE f.f WHEN 'ymd' THEN date_format(z, 'yyyy-MM-dd') WHEN 'mdy' THEN date_format(z, 'MM/dd/yyyy') WHEN 'only' THEN date_format(z, 'dd/MM/yyyy') ELSE date_format(z, 'dd.MM.yyyy') END"
-    del wide
     return valid, _bind("f", fields, _bind("z", walked, text))
 
 
@@ -152,7 +150,8 @@ def _value(key: str, m: str) -> str:
 
     middle = f"substr({d}, 2, length({d}) - 2)"
     front = f"concat(substr({d}, 1, 1), {_permuted_digits(key, 'card', middle)})"
-    card = _put(m, _bind("g", front, f"concat(g, cast((10 - {_luhn(chr(40) + 'concat(g, ' + repr('0') + '))')}) % 10 AS string))"))
+    open_end = "concat(g, '0')"
+    card = _put(m, _bind("g", front, f"concat(g, cast((10 - {_luhn(open_end)}) % 10 AS string))"))
     date_ok, date = _date(key, m)
     return f"""CASE WHEN {is_('email')} THEN {made('email', email)}
         WHEN {is_('iban')} THEN CASE WHEN {iban_ok} THEN {made('iban', iban)} ELSE named_struct('kind', CAST(NULL AS string), 'text', {m}) END

@@ -55,7 +55,7 @@ def bars(trades: DataFrame, spec: CandleSpec, width: int = WIDTH) -> DataFrame:
     if spec.kind == "tick_count":  # the number of a tick bar is its bucket
         done = grouped.withColumn("seq", F.col("bucket")).withColumn("key", F.col("start_id")).withColumn("is_closed", F.col("tick_count") >= int(spec.threshold))
     else:
-        done = numbered(grouped, ["symbol"], "first_arrival", "seq", width, "__bars").withColumn("key", F.col("bucket"))
+        done = numbered(grouped, ["symbol"], "first_arrival", "seq", width, "__bars", once=True).withColumn("key", F.col("bucket"))
         closed = F.col("seq") < F.col("__bars") - 1
         if spec.kind == "tick_modulo":
             # The trade that completes an id block closes the bar, but a bar's first trade never does.

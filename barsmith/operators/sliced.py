@@ -17,11 +17,17 @@ def _sliced(df: DataFrame, order: str, width: int) -> DataFrame:
     return df.withColumn("__slice", F.floor(F.col(order) / width).cast("long"))
 
 
-def numbered(df: DataFrame, by: list[str], order: str, out: str, width: int = WIDTH, total: str | None = None) -> DataFrame:
-    """0-based position of each row in its group, by the unique integer ``order``; with ``total`` the size of the group too."""
+def numbered(df: DataFrame, by: list[str], order: str, out: str, width: int = WIDTH, total: str | None = None, once: bool = False) -> DataFrame:
+    """0-based position of each row in its group, by the unique integer ``order``; with ``total`` the size of the group too.
+
+    ``once``: ``df`` ends in an exchange that is worth reading twice instead of making twice.  Spark reuses an exchange if both
+    readers want the same columns, so the counts look at all of them.
+    """
     cut = _sliced(df, order, width)
     before = Window.partitionBy(*by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    counts = cut.groupBy(*by, "__slice").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    # Never null for a group that has rows, but the optimizer can't know and keeps the columns.
+    seen = F.max(F.xxhash64(*df.columns)).isNull().cast("int") if once else F.lit(0)
+    counts = cut.groupBy(*by, "__slice").agg((F.count("*") + seen).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
     if total:
         counts = counts.withColumn(total, F.sum("__n").over(Window.partitionBy(*by)))
     counts = counts.drop("__n")

@@ -77,6 +77,27 @@ def test_near_copies(spark, monkeypatch, hot):
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted((i for i, _ in rows if i is None or want[i] == i), key=repr)
 
 
+def test_near_copies_with_repeated_lines(spark):
+    """Sets are alike, counts of shingles are not."""
+    rnd = np.random.default_rng(3)
+    rows = []
+    for i in range(40):
+        own = [f"w{k}" for k in rnd.integers(0, 5000, 200)]
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(own + own[-12:] * (10, 20, 40)[i % 3]))]
+    assert all(jaccard(shingles(a), shingles(b)) >= 0.9 for (_, a), (_, b) in zip(rows[::2], rows[1::2]))
+    assert dict(map(tuple, nearcopies.classes(corpus.table(spark, rows)).collect())) == {i: i - i % 2 for i, _ in rows}
+
+
+def test_kind_counts_discard_only_what_cannot_link():
+    rnd = np.random.default_rng(4)
+    base = rnd.integers(0, 1 << 40, 400).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rnd.permutation(base)[: 400 - k], rnd.integers(0, 1 << 40, k).astype(np.uint64)])) for k in range(0, 90)]
+    for least in (0.5, 0.8, 0.9):
+        edges = {frozenset(e) for e in nearcopies.cell_forest(np.arange(90), nearcopies.kind_counts(sets), sets, np.zeros(90, int), least)}
+        linked = lambda a, b: jaccard(frozenset(sets[a].tolist()), frozenset(sets[b].tolist())) >= least  # noqa: B023, E731
+        assert corpus.components(range(90), lambda a, b: frozenset((a, b)) in edges) == corpus.components(range(90), linked)  # noqa: B023
+
+
 def test_lempel(spark):
     rows = corpus.texts()
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0))

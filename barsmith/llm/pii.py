@@ -134,7 +134,7 @@ def _value(key: str, m: str) -> str:
     # Spaces go back where they were: the k-th sign that is no space is the k-th of the new number.
     spaced = f"aggregate(split({m}, ''), named_struct('o', '', 'k', 1, 'd', x), (p, c) -> CASE WHEN c = ' ' THEN named_struct('o', concat(p.o, ' '), 'k', p.k, 'd', p.d) ELSE named_struct('o', concat(p.o, substr(p.d, p.k, 1)), 'k', p.k + 1, 'd', p.d) END, p -> p.o)"
     iban = _bind("b", bare, _bind("n", body, _bind("x", head(check), spaced)))
-    iban_ok = f"length({bare}) BETWEEN 15 AND 34 AND length(regexp_replace(substr({bare}, 5), '[^0-9]', '')) BETWEEN 2 AND 18 AND {_mod97(bare)} = 1"
+    iban_ok = f"length({bare}) BETWEEN 15 AND 34 AND length(regexp_replace(substr({bare}, 5), '[^0-9]', '')) BETWEEN 2 AND 30 AND {_mod97(bare)} = 1"
 
     octet = lambda k: _big(f"element_at(split({m}, '[.]'), {k})")
     ip = _feistel(key, "ip", f"{octet(1)} * 256 + {octet(2)}", f"{octet(3)} * 256 + {octet(4)}", "65536L", "65536L", "concat_ws('.', s.l div 256, s.l % 256, s.r div 256, s.r % 256)")

@@ -3,7 +3,10 @@
 Candidates are found by one regular expression and validated by their own rules; what fails stays as it is:
 
 * ``card``  13 to 19 digits, plain or in groups, with a right Luhn digit; the first digit stays, the Luhn digit is made anew;
-* ``iban``  right by modulo 97; country and letters stay, digits change, the check digits are made anew;
+* ``iban``  right by modulo 97, with 2 digits or more behind the check digits, plain or in groups of four: as long as the
+  country's are, else (other countries) the longest run of whole groups that is right; what follows, or all
+  behind the country if none is right, is searched again (but for a value that goes on behind the candidate, which has
+  eight groups and a shorter one at most); country and letters stay, digits change, the check digits are made anew;
 * ``ssn``   ddd-dd-dddd with a possible area, group and serial;
 * ``phone`` national (ddd) ddd-dddd and the like, or international with +; the country code stays;
 * ``ip``    four octets up to 255;
@@ -29,10 +32,27 @@ from barsmith.llm.common import unused
 KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card")
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+#: Lengths of the countries' IBANs.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _national(length: int) -> str:
+    """What stands behind the check digits of an IBAN of so many signs, plain or in groups of four."""
+    rest = f" [A-Z0-9]{{{length % 4}}}" if length % 4 else ""
+    return f"(?:[A-Z0-9]{{{length - 4}}}|(?: [A-Z0-9]{{4}}){{{length // 4 - 1}}}{rest})"
+
+
+#: An IBAN of a known country ends where it must, so the text behind it is searched again.
+_KNOWN_IBAN = "(?:" + "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}{_national(n)}" for n, c in _IBAN_LENGTHS.items()) + ")(?![A-Za-z0-9])"
+_KNOWN_COUNTRY = "^(?:" + "|".join(c.replace(" ", "|") for c in _IBAN_LENGTHS.values()) + ")"
 #: Every alternative starts behind a boundary and eats its runs possessively, so long runs cost linear time.
 _FORMS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})(?:" + _KNOWN_IBAN + r"|[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9]))",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9/-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -40,6 +60,8 @@ _FORMS = {
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
 }
 PATTERN = "|".join(f"(?:{p})" for p in _FORMS.values())
+#: What may stand in the rest of a candidate for an IBAN.
+_AGAIN = "|".join(f"(?:{p})" for p in {**_FORMS, "iban": r"(?<![A-Za-z0-9])" + _KNOWN_IBAN}.values())
 
 
 def _quoted(text: str) -> str:
@@ -117,24 +139,39 @@ def _date(key: str, m: str) -> tuple[str, str]:
     return valid, _bind("f", fields, _bind("z", walked, text))
 
 
-def _value(key: str, m: str) -> str:
-    """struct(kind or null, text): what stands for the candidate ``m``."""
+def _joined(text: str, pattern: str, values: str) -> str:
+    """``text`` with the matches of ``pattern`` replaced by the texts of ``values``."""
+    return f"array_join(zip_with(split({text}, {_quoted(pattern)}, -1), {values}, (t, w) -> concat(t, coalesce(w.text, ''))), '')"
+
+
+def _value(key: str, m: str, again: bool = True) -> str:
+    """struct(kinds, text): what stands for the candidate ``m``; ``again``: the rest of one for an IBAN is searched."""
     d = _digits(m)
     is_ = lambda kind: f"{m} RLIKE {_quoted('^(?:' + _FORMS[kind] + ')$')}"
-    made = lambda kind, text: f"named_struct('kind', '{kind}', 'text', {text})"
+    made = lambda kind, text: f"named_struct('kinds', array('{kind}'), 'text', {text})"
 
+    nothing = f"named_struct('kinds', cast(array() AS array<string>), 'text', {m})"
     letters = lambda salt, n: f"translate(substr(sha2(concat_ws('|', {key}, 'email', '{salt}', lower({m})), 256), 1, {n}), '0123456789abcdef', 'ghijklmnopabcdef')"
     email = f"concat({letters('local', 12)}, '@', {letters('domain', 8)}, '.invalid')"
 
-    bare = f"replace({m}, ' ', '')"
+    bare = "replace(v, ' ', '')"
     own = f"regexp_replace(substr(b, 5), '[^0-9]', '')"
     body = _put("substr(b, 5)", _permuted_digits(key, "iban", own))
     head = lambda c: f"concat(substr(b, 1, 2), {c}, n)"
     check = f"lpad(cast(98 - {_mod97(head(repr('00')))} AS string), 2, '0')"
     # Spaces go back where they were: the k-th sign that is no space is the k-th of the new number.
-    spaced = f"aggregate(split({m}, ''), named_struct('o', '', 'k', 1, 'd', x), (p, c) -> CASE WHEN c = ' ' THEN named_struct('o', concat(p.o, ' '), 'k', p.k, 'd', p.d) ELSE named_struct('o', concat(p.o, substr(p.d, p.k, 1)), 'k', p.k + 1, 'd', p.d) END, p -> p.o)"
+    spaced = f"aggregate(split(v, ''), named_struct('o', '', 'k', 1, 'd', x), (p, c) -> CASE WHEN c = ' ' THEN named_struct('o', concat(p.o, ' '), 'k', p.k, 'd', p.d) ELSE named_struct('o', concat(p.o, substr(p.d, p.k, 1)), 'k', p.k + 1, 'd', p.d) END, p -> p.o)"
     iban = _bind("b", bare, _bind("n", body, _bind("x", head(check), spaced)))
     iban_ok = f"length({bare}) BETWEEN 15 AND 34 AND length(regexp_replace(substr({bare}, 5), '[^0-9]', '')) BETWEEN 2 AND 30 AND {_mod97(bare)} = 1"
+    # A token behind a grouped number looks like one more group: of unknown countries, shorter runs of groups are tried too.
+    runs = f"CASE WHEN {m} RLIKE '{_KNOWN_COUNTRY}' THEN array({m}) ELSE transform(sequence(size(split({m}, ' ')), least(size(split({m}, ' ')), 3), -1), z -> array_join(slice(split({m}, ' '), 1, z), ' ')) END"
+    if again:
+        rest, head = f"substr({m}, coalesce(length(v), 2) + 1)", f"CASE WHEN v IS NULL THEN substr({m}, 1, 2) ELSE {iban} END"
+        inner = f"transform(regexp_extract_all({rest}, {_quoted(_AGAIN)}, 0), sub -> {_value(key, 'sub', False)})"
+        found = _bind("subs", inner, f"named_struct('kinds', concat(CASE WHEN v IS NULL THEN cast(array() AS array<string>) ELSE array('iban') END, flatten(transform(subs, w -> w.kinds))), 'text', concat({head}, {_joined(rest, _AGAIN, 'subs')}))")
+    else:
+        found = f"CASE WHEN v IS NULL THEN {nothing} ELSE {made('iban', iban)} END"
+    iban = _bind("v", f"get(filter({runs if again else f'array({m})'}, v -> {iban_ok}), 0)", found)
 
     octet = lambda k: _big(f"element_at(split({m}, '[.]'), {k})")
     ip = _feistel(key, "ip", f"{octet(1)} * 256 + {octet(2)}", f"{octet(3)} * 256 + {octet(4)}", "65536L", "65536L", "concat_ws('.', s.l div 256, s.l % 256, s.r div 256, s.r % 256)")
@@ -154,13 +191,13 @@ def _value(key: str, m: str) -> str:
     card = _put(m, _bind("g", front, f"concat(g, cast((10 - {_luhn(open_end)}) % 10 AS string))"))
     date_ok, date = _date(key, m)
     return f"""CASE WHEN {is_('email')} THEN {made('email', email)}
-        WHEN {is_('iban')} THEN CASE WHEN {iban_ok} THEN {made('iban', iban)} ELSE named_struct('kind', CAST(NULL AS string), 'text', {m}) END
+        WHEN {is_('iban')} THEN {iban}
         WHEN {is_('ip')} THEN {made('ip', ip)}
-        WHEN {is_('date')} THEN CASE WHEN {date_ok} THEN {made('date', date)} ELSE named_struct('kind', CAST(NULL AS string), 'text', {m}) END
-        WHEN {is_('ssn')} THEN CASE WHEN {ssn_ok} THEN {made('ssn', ssn)} ELSE named_struct('kind', CAST(NULL AS string), 'text', {m}) END
+        WHEN {is_('date')} THEN CASE WHEN {date_ok} THEN {made('date', date)} ELSE {nothing} END
+        WHEN {is_('ssn')} THEN CASE WHEN {ssn_ok} THEN {made('ssn', ssn)} ELSE {nothing} END
         WHEN {is_('phone')} THEN {made('phone', phone)}
-        WHEN {is_('card')} THEN CASE WHEN {_luhn(d)} = 0 THEN {made('card', card)} ELSE named_struct('kind', CAST(NULL AS string), 'text', {m}) END
-        ELSE named_struct('kind', CAST(NULL AS string), 'text', {m}) END"""
+        WHEN {is_('card')} THEN CASE WHEN {_luhn(d)} = 0 THEN {made('card', card)} ELSE {nothing} END
+        ELSE {nothing} END"""
 
 
 def pseudonyms(docs: DataFrame, key: str, text_col: str = "text", found_col: str = "found") -> DataFrame:
@@ -173,9 +210,8 @@ def pseudonyms(docs: DataFrame, key: str, text_col: str = "text", found_col: str
     candidates = f"CASE WHEN {some} THEN regexp_extract_all({text}, {_quoted(PATTERN)}, 0) END"
     value = _value("'" + key + "'", "m")
     step = docs.withColumn(found_, F.expr(candidates)).withColumn(values, F.expr(f"CASE WHEN size({found_}) > 0 THEN transform({found_}, m -> {value}) END"))
-    segments = f"split({text}, {_quoted(PATTERN)}, -1)"
-    joined = f"CASE WHEN {values} IS NULL THEN {text} ELSE array_join(zip_with({segments}, {values}, (t, v) -> concat(t, coalesce(v.text, ''))), '') END"
-    found = f"filter(transform(coalesce({values}, array()), v -> v.kind), k -> k IS NOT NULL)"
+    joined = f"CASE WHEN {values} IS NULL THEN {text} ELSE {_joined(text, PATTERN, values)} END"
+    found = f"flatten(transform(coalesce({values}, array()), v -> v.kinds))"
     kept = [F.expr(joined).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c.lower() != found_col.lower()]
     return step.select(*kept, F.expr(found).alias(found_col))
 

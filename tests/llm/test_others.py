@@ -216,6 +216,27 @@ def test_long_ibans(spark):
     assert got[values[0]][0] == got[values[1]][0].replace(" ", "")
 
 
+def test_tokens_behind_ibans(spark):
+    """What follows a grouped number is no part of it, and is searched."""
+    ibans = ["BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332", "PL61 1090 1014 0000 0712 1981 2874", "DE89 3704 0044 0532 0130 00"]
+    unknown = next(f"XX{c:02} 1234 5678 9012 3456" for c in range(2, 99) if int(f"12345678901234563333{c:02}") % 97 == 1)
+    got = pseudonym(spark, [v + tail for v in [*ibans, unknown] for tail in ("", " EUR", " BIC", " A1", " GEBA", " 1234", ".")])
+    for v in [*ibans, unknown]:
+        new = got[v][0]
+        assert got[v][1] == ["iban"] and new != v and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", v)
+        for tail in (" EUR", " BIC", " A1", " GEBA", " 1234", "."):
+            assert got[v + tail] == (new + tail, ["iban"]), v + tail
+    card = pseudonym(spark, ["BE68 5390 0754 7034 4111 1111 1111 1111"])
+    assert [kinds for _, kinds in card.values()] == [["iban", "card"]]
+    # A candidate that fails, or whose shorter run is right, hides nothing.
+    plain = pseudonym(spark, ["4111 1111 1111 1111"])["4111 1111 1111 1111"][0]
+    wrong = ["ID12 4111 1111 1111 1111", "NO12 4111 1111 1111 1111", "ID42 BE68 5390 0754 7034", "NO42 BE68 5390 0754 7034", f"{unknown[:4]} {unknown[5:]} BE68 5390 0754"]
+    got2 = pseudonym(spark, wrong)
+    assert [got2[v] for v in wrong[:2]] == [(f"ID12 {plain}", ["card"]), (f"NO12 {plain}", ["card"])]
+    assert [got2[v] for v in wrong[2:4]] == [(f"ID42 {got[ibans[0]][0]}", ["iban"]), (f"NO42 {got[ibans[0]][0]}", ["iban"])]
+    assert got2[wrong[4]] == (got[unknown][0] + " BE68 5390 0754", ["iban"])
+
+
 def test_what_fails_stays(spark):
     for v, (new, kinds) in pseudonym(spark, ["4111111111111112", "2023-02-29", "13/13/2020", "000-12-3456", "666-12-3456", "300.1.1.1", "DE88370400440532013000", "1234567", "3.14", "x@y", "2500-01-01"]).items():
         assert (new, kinds) == (v, [])

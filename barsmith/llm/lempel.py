@@ -2,8 +2,8 @@
 
 The UTF-8 bytes of a text are parsed from left to right into dictionary phrases: each is the longest known phrase and one
 more byte (an unfinished last phrase is a known one and adds nothing).  The set of phrases is hashed and kept as a
-minimum-hash signature of ``BINS`` bins: a phrase falls in a bin by its hash, and each bin keeps the smallest 16 bits
-(``ffff``: none).  The likeness of two signatures is the share of equal bins among those that either uses, an estimate of
+minimum-hash signature of ``BINS`` bins: a phrase falls in a bin by its hash, and each bin keeps the smallest 32 bits
+(``ffffffff``: none), enough that minima of unrelated long texts don't agree by chance.  The likeness of two signatures is the share of equal bins among those that either uses, an estimate of
 the Jaccard similarity of the phrase sets; two texts without phrases have likeness 1.
 
 ``edits`` also fingerprints each document's edited text, whose last half comes from the next document in ascending order
@@ -29,7 +29,7 @@ from barsmith.llm.common import partitions_for, written
 from barsmith.llm.rolling import Prefix, byte_codes
 
 BINS = 128
-_NONE = 0xFFFF
+_NONE = 0xFFFFFFFF
 
 
 class Parse:
@@ -63,10 +63,10 @@ class Parse:
 
 
 def signature(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    out = np.full(BINS, _NONE, np.uint16)
+    out = np.full(BINS, _NONE, np.uint32)
     if len(end):
         hashes = Prefix(byte_codes(2)[np.frombuffer(data, np.uint8)], 2).slices(start, end)
-        value = np.minimum((hashes >> np.uint64(32)) & np.uint64(_NONE), _NONE - 1).astype(np.uint16)
+        value = np.minimum(hashes >> np.uint64(32), np.uint64(_NONE - 1)).astype(np.uint32)
         np.minimum.at(out, (hashes % np.uint64(BINS)).astype(np.int64), value)
     return out
 
@@ -81,7 +81,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def as_hex(print_: np.ndarray) -> str:
-    return print_.astype(">u2").tobytes().hex()
+    return print_.astype(">u4").tobytes().hex()
 
 
 class _Open:

@@ -128,6 +128,13 @@ def test_parse():
     assert (parts == lempel.fingerprint("héllo wörldhéllo wörld again")).all()
 
 
+def test_long_unrelated_texts_differ():
+    rnd = np.random.default_rng(6)
+    start = np.arange(0, 4_000_000, 8)
+    a, b = (lempel.signature(rnd.integers(0, 256, 4_000_000).astype(np.uint8).tobytes(), start, start + 8) for _ in range(2))
+    assert lempel.likeness(a, b) == 0.0 and len(lempel.as_hex(a)) == 8 * lempel.BINS
+
+
 def test_single_and_empty(spark):
     r = lempel.edits(corpus.table(spark, [(5, "abcdef")])).first()
     assert r.near_next == 1.0 and r.edited_sha256 == hashlib.sha256(b"abcabc").hexdigest()

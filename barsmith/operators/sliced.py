@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 WIDTH = 1 << 20
 
 
-def _sliced(df: DataFrame, order: str, width: int) -> DataFrame:
+def sliced(df: DataFrame, order: str, width: int) -> DataFrame:
     return df.withColumn("__slice", F.floor(F.col(order) / width).cast("long"))
 
 
@@ -23,7 +23,7 @@ def numbered(df: DataFrame, by: list[str], order: str, out: str, width: int = WI
     ``once``: ``df`` ends in an exchange that is worth reading twice instead of making twice.  Spark reuses an exchange if both
     readers want the same columns, so the counts look at all of them.
     """
-    cut = _sliced(df, order, width)
+    cut = sliced(df, order, width)
     before = Window.partitionBy(*by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     # Never null for a group that has rows, but the optimizer can't know and keeps the columns.
     seen = F.max(F.xxhash64(*df.columns)).isNull().cast("int") if once else F.lit(0)
@@ -37,8 +37,19 @@ def numbered(df: DataFrame, by: list[str], order: str, out: str, width: int = WI
 
 def running_max(df: DataFrame, by: list[str], order: str, value: Column, out: str, width: int = WIDTH) -> DataFrame:
     """Largest ``value`` of the group up to each row."""
-    cut = _sliced(df, order, width).withColumn("__value", value)
+    cut = sliced(df, order, width).withColumn("__value", value)
     before = Window.partitionBy(*by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     tops = cut.groupBy(*by, "__slice").agg(F.max("__value").alias("__top")).withColumn("__before", F.max("__top").over(before)).drop("__top")
     own = F.max("__value").over(Window.partitionBy(*by, "__slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     return cut.withColumn("__own", own).join(tops, [*by, "__slice"]).withColumn(out, F.greatest("__own", "__before")).drop("__slice", "__value", "__own", "__before")
+
+
+def counted(df: DataFrame, by: list[str], order: str, flag: str, out: str, width: int = WIDTH, total: str | None = None) -> DataFrame:
+    """How many rows of the group up to each row have ``flag`` 1 (not 0), less one; with ``total`` how many the group has."""
+    cut = sliced(df, order, width)
+    before = Window.partitionBy(*by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut.groupBy(*by, "__slice").agg(F.sum(flag).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    if total:
+        counts = counts.withColumn(total, F.sum("__n").over(Window.partitionBy(*by)))
+    at = F.sum(flag).over(Window.partitionBy(*by, "__slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return cut.withColumn("__at", at).join(counts.drop("__n"), [*by, "__slice"]).withColumn(out, (F.col("__before") + F.col("__at") - 1).cast("long")).drop("__slice", "__at", "__before")

@@ -21,17 +21,20 @@ class CandleSpec:
 
     ``threshold``: trades (``tick_count``, at least 2), the id step (``tick_modulo``), milliseconds (``time_fixed``) or volume.
     ``last``: further columns of the tape of which a bar has its last trade's value, such as exchange or local times.
-    ``unit``: day, week or month for ``calendar``.  ``init``/``update``: user code for ``fold`` (see ``bars.fold_bars``).
+    ``unit``: day, week or month for ``calendar``, in ``zone`` (empty: the session's).  ``init``/``update``: user code for ``fold`` and ``schema``: its fields
+    (see ``bars.fold_bars``).
     """
 
     name: str
     kind: str
     threshold: float = 0
     unit: str = ""
+    zone: str = ""
     fields: tuple[str, ...] = FIELDS
     last: tuple[str, ...] = ()
     init: Callable | None = None
     update: Callable | None = None
+    schema: str = ""
 
     def __post_init__(self):
         if not self.name:
@@ -48,6 +51,8 @@ class CandleSpec:
             raise ValueError(f"unit must be one of {UNITS}")
         if (self.kind == "fold") != (self.init is not None and self.update is not None):
             raise ValueError("fold takes init and update, both of them; other kinds take neither")
+        if self.schema and self.kind != "fold":
+            raise ValueError("only fold takes a schema")
         if self.last and self.kind in ("fold", "volume"):
             raise ValueError(f"{self.kind} bars have the fields that their code makes")
         if taken := [c for c in self.last if c in BASE + FIELDS]:

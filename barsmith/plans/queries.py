@@ -17,8 +17,8 @@ TICK5 = CandleSpec("tick5", "tick_count", 5)
 HOURS = CandleSpec("time_1h", "time_fixed", HOUR)
 DAYS = CandleSpec("time_1d", "time_fixed", DAY)
 MODULO = CandleSpec("modulo10", "tick_modulo", 10)
-MONTHS = CandleSpec("month", "calendar", unit="month")
-WEEKS = CandleSpec("week", "calendar", unit="week")
+MONTHS = CandleSpec("month", "calendar", unit="month", zone="UTC")
+WEEKS = CandleSpec("week", "calendar", unit="week", zone="UTC")
 
 _TAPE = "SELECT event_type AS symbol, event_id AS arrival, event_id AS trade_id, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS ts, value AS price, CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS DOUBLE) AS volume FROM events"
 _LATE = f"SELECT symbol, arrival, trade_id, CASE WHEN arrival % 10 = 3 THEN ts - 7200000 ELSE ts END AS ts, price, volume FROM ({_TAPE})"
@@ -87,15 +87,28 @@ def bars_tick_modulo(spark, d):
     return _out(bars.bars(tapes.events(spark, d), MODULO))
 
 
+_LATE_IDS = f"SELECT symbol, arrival, CASE WHEN arrival % 7 = 3 THEN arrival - least(arrival, 25) WHEN arrival % 11 = 5 THEN arrival + 13 ELSE arrival END AS trade_id, ts, price, volume FROM ({_TAPE})"
+
+
+# The rule of the bars, trade by trade: key of the open bar, its number, whether it's closed.
+@query("bars_tick_modulo_late", f"""WITH RECURSIVE t AS (SELECT *, trade_id - trade_id % 10 AS a, (trade_id + 1) % 10 = 0 AS c, row_number() OVER (PARTITION BY symbol ORDER BY arrival) AS rn FROM ({_LATE_IDS})),
+    f AS (SELECT symbol, rn, a AS key, CAST(0 AS BIGINT) AS seq, false AS closed FROM t WHERE rn = 1
+        UNION ALL SELECT t.symbol, t.rn, CASE WHEN f.closed OR t.a > f.key THEN t.a ELSE f.key END, CASE WHEN f.closed OR t.a > f.key THEN f.seq + 1 ELSE f.seq END, NOT f.closed AND t.a <= f.key AND t.c FROM f JOIN t ON t.symbol = f.symbol AND t.rn = f.rn + 1),
+    b AS (SELECT f.symbol, f.seq, min(f.key) AS key, bool_or(f.closed) AS closed, arg_min(price, arrival) AS open, max(price) AS high, min(price) AS low, arg_max(price, arrival) AS close, sum(volume) AS volume, round(sum(price * volume), 4) AS amount, count(*) AS tick_count,
+        arg_min(trade_id, arrival) AS start_id, arg_max(trade_id, arrival) AS end_id, arg_max(ts, arrival) AS last_ts FROM f JOIN t USING (symbol, rn) GROUP BY f.symbol, f.seq)
+    SELECT 'modulo10' AS candle_type, symbol, seq, key, closed OR seq < max(seq) OVER (PARTITION BY symbol) AS is_closed, open, high, low, close, volume, amount, tick_count, start_id, end_id, last_ts FROM b""")
+def bars_tick_modulo_late(spark, d):
+    """Aligned-id bars of a tape whose ids come late and early."""
+    return _out(bars.bars(tapes.late_id_events(spark, d), MODULO))
+
+
 @query("bars_month", _select(_sql("month", "month")))
 def bars_month(spark, d):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return _out(bars.bars(tapes.events(spark, d), MONTHS))
 
 
 @query("bars_week", _select(_sql("week", "week")))
 def bars_week(spark, d):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return _out(bars.bars(tapes.events(spark, d), WEEKS))
 
 

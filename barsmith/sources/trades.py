@@ -27,6 +27,12 @@ def late_events(spark: SparkSession, sf_dir: str, every: int = 10, late_ms: int
     return events(spark, sf_dir).withColumn("ts", F.when(F.col("arrival") % every == 3, F.col("ts") - late_ms).otherwise(F.col("ts")))
 
 
+def late_id_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tape with ids out of order: every seventh trade has one from 25 before, every eleventh one from 13 ahead."""
+    at = F.col("arrival")
+    return events(spark, sf_dir).withColumn("trade_id", F.when(at % 7 == 3, at - F.least(at, F.lit(25))).when(at % 11 == 5, at + 13).otherwise(at))
+
+
 def book_events(spark: SparkSession, sf_dir: str, kind: str = "view") -> DataFrame:
     """Events of one type as updates of a user's book: symbol = user."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").where(F.col("event_type") == kind)

@@ -19,6 +19,15 @@ def random_tape(seed: int, n: int, symbols=("a", "b", "c")):
     return out
 
 
+def late_ids(seed: int, n: int, symbols=("a", "b")):
+    """A tape whose ids come out of order, in blocks and singly."""
+    rnd, out, top = random.Random(seed), [], 0
+    for i in range(n):
+        top += rnd.choice([0, 1, 1, 1, 2, 9])
+        out.append((rnd.choice(symbols), i, max(0, top - rnd.choice([0, 0, 0, 1, 3, 7, 30])), i, 1.0 + i, 1.0))
+    return out
+
+
 def replay(rows, spec):
     """Bars of each symbol by the sequential rule."""
     from barsmith.streaming.bars import fold

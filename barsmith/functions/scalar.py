@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 _LOW = 0xFFFFFFFF
 
@@ -39,7 +41,7 @@ def ms_to_ns(x) -> Column:
 
 
 def ns_to_ms(x) -> Column:
-    return F.floor(_col(x) / 1_000_000).cast("long")
+    return F.round((_col(x) - F.pmod(_col(x), F.lit(1_000_000))) / 1_000_000).cast("long")  # rounds what double division leaves
 
 
 def epoch_ms(ts: str) -> Column:
@@ -55,10 +57,23 @@ def integer_ema(values: str) -> Column:
 def rates(counters: DataFrame, by: list[str], at_ns: str, count: str) -> DataFrame:
     """Events a second between samples of a counter, and their integer average after each sample.
 
-    The samples of one counter are few (one a second at most); they are folded in order.
+    Each average needs the one before, rounded, so a counter's samples (one a second at most) are folded in order, with one
+    number in hand.
     """
     w = Window.partitionBy(*by).orderBy(at_ns)
     step = counters.withColumn("__dt", F.col(at_ns) - F.lag(at_ns).over(w)).withColumn("__dn", F.col(count) - F.lag(count).over(w)).where("__dt > 0")
     rate = step.withColumn("rate", F.floor(F.col("__dn") * 1_000_000_000 / F.col("__dt")).cast("long"))
-    seen = F.collect_list("rate").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return rate.withColumn("__seen", seen).withColumn("smoothed", integer_ema("__seen")).select(*by, at_ns, "rate", "smoothed")
+    rate = rate.select(*by, at_ns, "rate")
+    dealt = rate.repartition(*by).sortWithinPartitions(*by, at_ns) if by else rate.coalesce(1).sortWithinPartitions(at_ns)
+
+    def fold(batches):
+        key, average = None, None
+        for batch in batches:
+            own, values, out = list(zip(*(batch.column(c).to_pylist() for c in by))) or [()] * batch.num_rows, batch.column("rate").to_pylist(), []
+            for k, v in zip(own, values):
+                average = v if k != key or average is None else (v + 3 * average) >> 2
+                key = k
+                out.append(average)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "smoothed"])
+
+    return dealt.mapInArrow(fold, StructType(dealt.schema.fields + [StructField("smoothed", LongType())]))

@@ -14,11 +14,12 @@ class CandleReader:
 
     Symbols are named, or given by id with the dictionary.  A field list is by name, or by index in the order of the
     table's fields; None is all of them, base columns always come.  Filters on symbol, type, seq and key reach the scan.
-    Unknown symbols, keys and offsets raise ``LookupError``, bad arguments ``ValueError``.
+    Unknown symbols, keys and offsets raise ``LookupError``, bad arguments ``ValueError``.  With ``strict=False`` nothing is looked
+    up beforehand: a read is one plan, and what is not known gives no rows.
     """
 
-    def __init__(self, candles: DataFrame, symbols: DataFrame | None = None):
-        self.candles, self.symbols = candles, symbols
+    def __init__(self, candles: DataFrame, symbols: DataFrame | None = None, strict: bool = True):
+        self.candles, self.symbols, self.strict = candles, symbols, strict
         self.fields = [c for c in candles.columns if c not in BASE]
 
     def by_offset(self, symbol, candle_type: str, offset: int, count: int, fields=None) -> DataFrame:
@@ -27,6 +28,8 @@ class CandleReader:
         if offset < 0:
             raise ValueError("offset must not be negative")
         own = self._own(symbol, candle_type)
+        if not self.strict:
+            return self._cut(own.orderBy(F.desc("seq")).offset(offset).limit(count), fields)
         newest = own.agg(F.max("seq")).first()[0]
         if newest is None or offset > newest:
             raise LookupError(f"no bar at offset {offset}")
@@ -36,6 +39,9 @@ class CandleReader:
         """``count`` bars by position that end with the bar of this key; of bars with one key the newest counts."""
         self._counts(count)
         own = self._own(symbol, candle_type)
+        if not self.strict:
+            end = own.where(F.col("key") == key).agg(F.max("seq").alias("__end"))  # one row
+            return self._cut(own.join(F.broadcast(end), F.col("seq") <= F.col("__end")).orderBy(F.desc("seq")).limit(count), fields)
         end = own.where(F.col("key") == key).agg(F.max("seq")).first()[0]
         if end is None:
             raise LookupError(f"no bar has key {key}")
@@ -48,6 +54,10 @@ class CandleReader:
     def count_range(self, symbol, candle_type: str, start: int, end: int) -> int:
         return self._own(symbol, candle_type).where(F.col("key").between(start, end)).count()
 
+    def counted(self, symbol, candle_type: str, start: int, end: int) -> DataFrame:
+        """The same as a table of one row (n)."""
+        return self._own(symbol, candle_type).where(F.col("key").between(start, end)).agg(F.count("*").alias("n"))
+
     def seq_range(self, symbol, candle_type: str, start: int, end: int) -> tuple[int, int] | None:
         """First and last seq of the bars in a key range, or None."""
         row = self._own(symbol, candle_type).where(F.col("key").between(start, end)).agg(F.min("seq"), F.max("seq")).first()
@@ -57,8 +67,11 @@ class CandleReader:
         if isinstance(symbol, int):
             if self.symbols is None:
                 raise ValueError("ids of symbols need the dictionary")
+            if not self.strict:
+                named = self.symbols.where(F.col("symbol_id") == symbol).select("symbol").limit(1)
+                return self.candles.where(F.col("candle_type") == candle_type).join(F.broadcast(named), "symbol", "left_semi")  # one row
             symbol = sym.name_of(self.symbols, symbol)
-        elif self.symbols is not None:
+        elif self.symbols is not None and self.strict:
             sym.id_of(self.symbols, symbol)
         return self.candles.where((F.col("symbol") == symbol) & (F.col("candle_type") == candle_type))
 

@@ -63,7 +63,12 @@ class CandleSpec:
 
 @dataclass(frozen=True)
 class EngineConfig:
-    """Bar types and storage sizes of one engine; sinks come as callables, both parts of a pair or neither."""
+    """Bar types and storage sizes of one engine; sinks come as callables, both parts of a pair or neither.
+
+    ``files_per_trigger`` and ``feed_rows`` bound what a micro-batch takes in: so many files of the tape, of at most so many rows each.
+    ``retain``: full chunks that leave the hot window are removed once a sink has had them.
+    ``book_state``: (init, update, schema) of the book, as in ``streaming.bars.book_stream``.
+    """
 
     specs: tuple[CandleSpec, ...]
     batch_pow2: int = 10
@@ -72,8 +77,11 @@ class EngineConfig:
     trade_flush: tuple[Callable | None, Callable | None] = (None, None)
     candle_flush: tuple[Callable | None, Callable | None] = (None, None)
     book_flush: tuple[Callable | None, Callable | None] = (None, None)
-    book_state: tuple[Callable | None, Callable | None, Callable | None] = (None, None, None)
+    book_state: tuple[Callable | None, Callable | None, str | None] = (None, None, None)
     symbols: tuple[str, ...] = field(default=())
+    files_per_trigger: int = 64
+    feed_rows: int = 1 << 20
+    retain: bool = False
 
     def __post_init__(self):
         if not 1 <= len(self.specs) <= MAX_SPECS:
@@ -82,6 +90,10 @@ class EngineConfig:
             raise ValueError("names of bar types must differ")
         if not 0 <= self.batch_pow2 <= 30 or not 0 <= self.cached_pow2 <= 30:
             raise ValueError("powers of two must be between 0 and 30")
+        if self.files_per_trigger <= 0 or self.feed_rows <= 0:
+            raise ValueError("a micro-batch takes in one file of one row at least")
+        if self.retain and self.candle_flush[0] is None:
+            raise ValueError("chunks are removed when a sink has had them: retain needs candle_flush")
         if self.max_symbols is not None and (self.max_symbols <= 0 or len(self.symbols) > self.max_symbols):
             raise ValueError("max_symbols must be positive and hold all symbols")
         for name in ("trade_flush", "candle_flush", "book_flush", "book_state"):

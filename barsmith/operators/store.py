@@ -44,6 +44,16 @@ def read_archive(spark, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def with_open(archive: DataFrame, open_bars: DataFrame) -> DataFrame:
+    """Archived bars and those still at hand as one table: of bars in both, the one at hand (it has all trades).
+
+    The bars at hand are few and the archive is not dealt: Spark broadcasts them while they are small.
+    """
+    keys = ["candle_type", "symbol", "seq"]
+    names = [c for c in open_bars.columns if c in archive.columns]
+    return archive.join(open_bars.select(*keys), keys, "left_anti").select(*names).unionByName(open_bars.select(*names))
+
+
 def trade_blocks(trades: DataFrame, record_bytes: int, block_bytes: int = 65536, width: int = WIDTH) -> DataFrame:
     """Trades with the raw block each belongs to: ``max(1, block_bytes div record_bytes)`` records of a symbol."""
     if record_bytes <= 0:

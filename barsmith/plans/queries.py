@@ -218,7 +218,12 @@ def feeder_shards(spark, d):
 
 def _reader(spark, d):
     tape = tapes.events(spark, d)
-    return reading.CandleReader(_out(bars.bars(tape, TICK5)), symbols.dictionary(tape))
+    return reading.CandleReader(_out(bars.bars(tape, TICK5)), symbols.dictionary(tape), strict=False)
+
+
+def _hour_reader(spark, d):
+    tape = tapes.events(spark, d)
+    return reading.CandleReader(_out(bars.bars(tape, HOURS)), symbols.dictionary(tape), strict=False)
 
 
 _OWN = f"{_TICK5} WHERE symbol = 'purchase'"
@@ -245,20 +250,55 @@ _KEY = f"(SELECT key FROM {_OWN} AND seq = 12)"
 
 @query("q_key_last_n", _select(_OWN, where="AND seq BETWEEN 5 AND 12"))
 def q_key_last_n(spark, d):
+    """The bars up to the one whose key is the trade id of the 61st purchase."""
+    return _reader(spark, d).by_key("purchase", "tick5", _sixty_first(spark, d), 8)
+
+
+def _sixty_first(spark, d) -> int:
+    """First trade of the bar with seq 12."""
+    return tapes.events(spark, d).where("symbol = 'purchase'").select("arrival").orderBy("arrival").offset(60).limit(1).first()[0]
+
+
+@query("q_key_id", _select(_OWN, where="AND seq BETWEEN 5 AND 12"))
+def q_key_id(spark, d):
+    """The same by the symbol's id."""
     reader = _reader(spark, d)
-    key = reader.candles.where("symbol = 'purchase' AND seq = 12").select("key").first()[0]
-    return reader.by_key("purchase", "tick5", key, 8)
+    return reader.by_key(symbols.id_of(reader.symbols, "purchase"), "tick5", _sixty_first(spark, d), 8)
 
 
 @query("q_key_range", _select(f"{_HOURS} WHERE symbol = 'click'", where="AND key BETWEEN 1704153600000 AND 1704412800000"))
 def q_key_range(spark, d):
-    return reading.CandleReader(_out(_hours(spark, d))).by_key_range("click", "time_1h", 1704153600000, 1704412800000)
+    return _hour_reader(spark, d).by_key_range("click", "time_1h", 1704153600000, 1704412800000)
 
 
 @query("q_count_range", f"SELECT count(*) AS n FROM {_HOURS} WHERE symbol = 'click' AND key BETWEEN 1704153600000 AND 1704412800000")
 def q_count_range(spark, d):
-    n = reading.CandleReader(_hours(spark, d)).count_range("click", "time_1h", 1704153600000, 1704412800000)
-    return spark.createDataFrame([(n,)], "n long")
+    return _hour_reader(spark, d).counted("click", "time_1h", 1704153600000, 1704412800000)
+
+
+_SECOND = f"{_HOURS} WHERE symbol = (SELECT symbol FROM {_SYMBOLS} WHERE symbol_id = 1)"
+
+
+@query("q_key_range_id", _select(_SECOND, where="AND key BETWEEN 1704153600000 AND 1704412800000"))
+def q_key_range_id(spark, d):
+    return _hour_reader(spark, d).by_key_range(1, "time_1h", 1704153600000, 1704412800000)
+
+
+@query("q_count_range_id", f"SELECT count(*) AS n FROM {_SECOND} AND key BETWEEN 1704153600000 AND 1704412800000")
+def q_count_range_id(spark, d):
+    return _hour_reader(spark, d).counted(1, "time_1h", 1704153600000, 1704412800000)
+
+
+@query("q_archive_and_open", _select(_TICK5, where="WHERE symbol IN ('click', 'purchase')"))
+def q_archive_and_open(spark, d):
+    """Bars of an archive and newer ones at hand, some of which the archive has with fewer trades."""
+    tape = tapes.events(spark, d).where("symbol IN ('click', 'purchase')")
+    early = bars.bars(tape.where("arrival % 1000 < 900 AND arrival < 1000 OR arrival < 500"), TICK5)
+    whole = bars.bars(tape, TICK5)
+    closed = early.where("is_closed")
+    newest = closed.groupBy("symbol").agg(F.max("seq").alias("had"))
+    at_hand = whole.join(newest, "symbol").where("seq >= had").drop("had")
+    return _out(store.with_open(closed, at_hand))
 
 
 @query("q_seq_range", f"SELECT min(seq) AS first_seq, max(seq) AS last_seq FROM {_HOURS} WHERE symbol = 'click' AND key BETWEEN 1704153600000 AND 1704412800000")
@@ -325,6 +365,16 @@ def latency_codec(spark, d):
     return rows.select("event_id", "packed", scalar.unpack_latency("packed").alias("latency"), scalar.unpack_feed("packed", F.col("feed") + 5000).alias("feed_ns"))
 
 
+@query("bars_packed_times", _select(_sql("time_1m", "time_fixed", 60000, f"SELECT * REPLACE (1700000000000 + (arrival * 1234567891 - (CAST(floor(price * 1000003) AS BIGINT) - 2000000 > 0)::BIGINT * (CAST(floor(price * 1000003) AS BIGINT) - 2000000)) // 1000000 AS ts) FROM ({_TAPE})")))
+def bars_packed_times(spark, d):
+    """Bars of exchange times that come packed with their latency: unpacked against the local clock, then taken as the trades' times."""
+    stamped = _stamped(spark, d).select("event_id", scalar.pack_latency("exch", "feed").alias("packed"), (F.col("feed") + 5000).alias("local"))
+    feed = scalar.unpack_feed("packed", F.col("local"))
+    times = stamped.select("event_id", scalar.ns_to_ms(feed - scalar.unpack_latency("packed")).alias("exchange_ms"))
+    tape = tapes.events(spark, d).join(times, F.col("arrival") == F.col("event_id")).withColumn("ts", F.col("exchange_ms")).drop("event_id", "exchange_ms")
+    return _out(bars.bars(tape, CandleSpec("time_1m", "time_fixed", 60000)))
+
+
 @query("align", f"SELECT arrival, ts - ts % 60000 AS minute, trade_id - trade_id % 7 AS block, ts * 1000000 AS ns, lower(upper(symbol)) AS name FROM ({_TAPE})")
 def align(spark, d):
     t = tapes.events(spark, d)
@@ -387,9 +437,10 @@ def _latencies(spark, d):
     return _stamped(spark, d).withColumn("raw", F.col("feed") - F.col("exch")).withColumn("lat", F.greatest("raw", F.lit(0)))
 
 
-@query("audit_latencies", f"SELECT event_id, greatest(feed - exch, 0) AS feed_latency, CAST(700 AS BIGINT) AS internal_latency, CAST(0 AS BIGINT) AS audit_latency FROM (SELECT event_id, {_NS} FROM events)")
+@query("audit_latencies", f"SELECT event_id, greatest(feed - exch, 0) AS feed_latency, greatest(event_id % 977 - 100, 0) AS internal_latency, greatest(event_id * 7 % 1301 - event_id % 977 + 100, 0) AS audit_latency FROM (SELECT event_id, {_NS} FROM events)")
 def audit_latencies(spark, d):
-    rows = _stamped(spark, d).withColumns({"exchange_ts": F.col("exch"), "feed_ts": F.col("feed"), "local_ts": F.col("feed") + 700, "read_ts": F.col("feed") + 500})
+    local = F.col("feed") + F.col("event_id") % 977 - 100
+    rows = _stamped(spark, d).withColumns({"exchange_ts": F.col("exch"), "feed_ts": F.col("feed"), "local_ts": local, "read_ts": F.col("feed") + F.col("event_id") * 7 % 1301})
     return audit.latencies(rows).select("event_id", "feed_latency", "internal_latency", "audit_latency")
 
 
@@ -437,6 +488,17 @@ def hdr_histogram(spark, d):
     return audit.hdr_summary(_latencies(spark, d), ["event_type"], "raw", {"p50": 0.5, "p99": 0.99}).withColumn("mean", F.round("mean", 3))
 
 
+_WIDE = "CASE WHEN event_id % 3 = 0 THEN (CAST(1 AS BIGINT) << CAST(event_id % 62 AS INTEGER)) - 1 WHEN event_id % 3 = 1 THEN CAST(1 AS BIGINT) << CAST(event_id % 62 AS INTEGER) ELSE (CAST(1 AS BIGINT) << CAST(event_id % 62 AS INTEGER)) + event_id END"
+
+
+@query("hdr_bins", f"SELECT v, v - v % (CAST(1 AS BIGINT) << CAST(greatest(length(bin(greatest(v, 1))) - 11, 0) AS INTEGER)) AS b FROM (SELECT DISTINCT {_WIDE} AS v FROM events)")
+def hdr_bins(spark, d):
+    """Bins of values beside powers of two up to 2^62."""
+    power = F.expr("shiftleft(cast(1 AS bigint), cast(event_id % 62 AS int))")
+    v = F.when(F.col("event_id") % 3 == 0, power - 1).when(F.col("event_id") % 3 == 1, power).otherwise(power + F.col("event_id"))
+    return spark.read.parquet(f"{d}/events.parquet").select(v.alias("v")).distinct().withColumn("b", audit.hdr_bin(F.col("v")))
+
+
 @query("phase_summary", "SELECT event_type AS phase, round(avg(value), 6) AS value, round(avg(user_id), 6) AS user_id, count(*) AS samples FROM events GROUP BY 1")
 def phase_summary(spark, d):
     rows = spark.read.parquet(f"{d}/events.parquet").withColumnRenamed("event_type", "phase")

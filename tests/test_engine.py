@@ -34,6 +34,14 @@ def test_reads(reader):
     assert reader.by_offset(0, "m", 0, 1, [1, "close"]).columns == ["candle_type", "symbol", "seq", "key", "is_closed", "high", "close"]
 
 
+def test_reads_in_one_plan(reader):
+    lazy = CandleReader(reader.candles, reader.symbols, strict=False)
+    for symbol in ("x", 0):
+        assert seqs(lazy.by_offset(symbol, "m", 1, 99)) == [0, 1, 2] and seqs(lazy.by_key(symbol, "m", 120000, 2)) == [1, 2] and seqs(lazy.by_key_range(symbol, "m", 60000, 200000)) == [1, 2]
+        assert lazy.counted(symbol, "m", 60000, 200000).first().n == 2 and seqs(lazy.by_offset(symbol, "m", 9, 1)) == [] == seqs(lazy.by_key(symbol, "m", 5, 1))
+    assert seqs(lazy.by_offset("no", "m", 0, 1)) == [] == seqs(lazy.by_offset(9, "m", 0, 1))
+
+
 def test_read_errors(reader):
     for f in (lambda: reader.by_offset("x", "m", 4, 1), lambda: reader.by_key("x", "m", 180000, 1), lambda: reader.by_offset("no", "m", 0, 1), lambda: reader.by_offset(7, "m", 0, 1)):
         with pytest.raises(LookupError):
@@ -94,6 +102,12 @@ def test_audit(spark):
     got = audit.sample_percentiles(spark.range(1000).select(F.lit("k").alias("k"), "id"), ["k"], "id", {"p50": 0.5, "p999": 0.999}).first()
     assert (got.p50, got.p999, got.max, got.n) == (500, 999, 999, 1000)
     assert [r[0] for r in spark.createDataFrame([(2047,), (2048,), (4097,)], "v long").select(audit.hdr_bin(F.col("v"))).collect()] == [2047, 2048, 4096]
+    near = [2**k + d for k in range(12, 62) for d in (-1, 0, 1)]
+    got = spark.createDataFrame([(v,) for v in near], "v long").select("v", audit.hdr_bin(F.col("v")).alias("b")).collect()
+    assert all(r.b == r.v >> (r.v.bit_length() - 11) << (r.v.bit_length() - 11) for r in got)
+    many = spark.createDataFrame([("k", (i * 7919) % 100_003 - 500) for i in range(20_000)], "k string, v long")
+    own, got = sorted((i * 7919) % 100_003 - 500 for i in range(20_000)), audit.sample_percentiles(many, ["k"], "v", {"a": 0.0, "b": 0.5, "c": 0.999, "d": 1.0}).first()
+    assert (got.a, got.b, got.c, got.d, got.max, got.n) == (own[0], own[10_000], own[19_980], own[-1], own[-1], 20_000)
     assert audit.newer(made, spark.createDataFrame([("b", "x", 0)], "candle_type string, symbol string, last_key long")).count() == 1
 
 
@@ -111,6 +125,11 @@ def test_codec(spark):
 
 
 def test_ema_and_rates(spark):
+    many = spark.createDataFrame([("k", i * 10**9, i * i * 10) for i in range(50)], "k string, at long, n long")
+    rates, want = [10 * (2 * i - 1) for i in range(1, 50)], []
+    for v in rates:
+        want.append(v if not want else (v + 3 * want[-1]) >> 2)
+    assert [r.smoothed for r in scalar.rates(many, ["k"], "at", "n").orderBy("at").collect()] == want
     assert spark.createDataFrame([([8, 16, 4],)], "v array<long>").select(scalar.integer_ema("v")).first()[0] == (4 + 3 * 10) >> 2
     got = scalar.rates(spark.createDataFrame([("k", 0, 0), ("k", 10**9, 8), ("k", 2 * 10**9, 24)], "k string, at long, n long"), ["k"], "at", "n").orderBy("at").collect()
     assert [(r.rate, r.smoothed) for r in got] == [(8, 8), (16, 10)]

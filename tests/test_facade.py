@@ -50,10 +50,30 @@ def test_life(spark, tmp_path):
 
 
 def test_book(spark, tmp_path):
-    engine = Engine(spark, EngineConfig(SPECS[:1], symbols=("a",)), str(tmp_path / "e"))
+    with pytest.raises(ValueError):
+        Engine(spark, EngineConfig(SPECS[:1]), str(tmp_path / "none")).feed_book(spark.createDataFrame([("a", 5, 1)], "symbol string, ts long, arrival long"))
+    config = EngineConfig(SPECS[:1], symbols=("a",), book_state=(lambda e: (e["p"], 1), lambda s, e: (max(s[0], e["p"]), s[1] + 1), "top double, n long"))
+    engine = Engine(spark, config, str(tmp_path / "e"))
     engine.feed_book(spark.createDataFrame([("a", 5, 1, 1.5), ("a", 9, 2, 2.5)], "symbol string, ts long, arrival long, p double"))
     engine.feed_trades(spark.createDataFrame([("a", 1, 1, 7, 1.0, 1.0)], TAPE))
     assert engine.with_book(["p"]).first().book_p == 1.5 and engine.book_state(["p"]).first().p == 2.5
+    assert tuple(engine.book_now().first()) == ("a", 2.5, 2)
+    engine.feed_book(spark.createDataFrame([("a", 12, 3, 0.5)], "symbol string, ts long, arrival long, p double"))
+    assert tuple(engine.book_now().first()) == ("a", 2.5, 3)
+
+
+def test_retention_and_archive(spark, tmp_path):
+    """Chunks leave the engine when a sink has had them; archive and engine together still have every bar."""
+    store = str(tmp_path / "sink")
+    config = EngineConfig(SPECS[:1], batch_pow2=2, cached_pow2=0, symbols=("a", "b", "c"), candle_flush=(lambda df: df.write.mode("append").parquet(store), lambda h: True), retain=True, files_per_trigger=1, feed_rows=20)
+    engine, tape = Engine(spark, config, str(tmp_path / "e")), random_tape(11, 150)
+    for at in range(0, 150, 50):
+        engine.feed_trades(spark.createDataFrame(tape[at : at + 50], TAPE).coalesce(1))
+        engine.refresh()
+    want = bars(spark.createDataFrame(tape, TAPE), SPECS[0])
+    key = lambda df: sorted(map(tuple, df.withColumn("amount", F.round("amount", 6)).select(*want.columns).collect()))
+    assert engine.bars("t").count() < want.count() and key(engine.bars("t", spark.read.parquet(store))) == key(want)
+    assert not [p for p in (tmp_path / "e" / "trades").iterdir() if p.suffix == ".parquet"] and engine.cached_bars("t").count() <= engine.bars("t").count()
 
 
 def test_files(spark, tmp_path):

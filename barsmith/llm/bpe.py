@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barsmith.llm.common import small
 from barsmith.llm.tokenizers import pretokens, ranks
 
 CHUNK, OVERLAP = 32768, 1024
@@ -66,7 +67,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     own = own.withColumn("size", F.length("text"))
 
     def whole(batches):
-        for batch in batches:
+        for batch in small(batches):
             ids = [encode(x, path, pattern) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([decode(x, path, pattern) for x in ids], pa.binary())], ["id", "ids", "decoded"])
 
@@ -78,7 +79,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     pieces = pieces.select("row", "id", "size", "no", F.expr(f"substring(text, no * {chunk} + 1, {chunk + overlap})").alias("text")).repartition("row", "no")
 
     def split(batches):
-        for batch in batches:
+        for batch in small(batches):
             heads, tails = [], []
             for no, size, text in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), batch.column(4).to_pylist()):
                 start = no * chunk
@@ -94,7 +95,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     marked = marked.withColumn("broken", F.expr("max(at IS NULL) OVER (PARTITION BY row)"))
 
     def piecewise(batches):
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for no, text, at, until, broken in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5, 6))):
                 # Where neighbours don't resynchronise, the chunks go on as text and the whole is encoded at the end.
@@ -105,7 +106,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     joined = parts.groupBy("row").agg(F.first("id").alias("id"), F.sort_array(F.collect_list(F.struct("no", "ids", "text"))).alias("parts"))
 
     def join(batches):
-        for batch in batches:
+        for batch in small(batches):
             ids = []
             for parts in batch.column(1).to_pylist():
                 ids.append(encode("".join(p["text"] for p in parts), path, pattern).tobytes() if parts[0]["text"] is not None else b"".join(p["ids"] for p in parts))

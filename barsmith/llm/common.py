@@ -6,6 +6,8 @@ folder named by ``spark.checkpoint.dir``, so that the loss of an executor costs
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,44 +16,65 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in an Arrow batch.  Texts can be long, so batches are kept short and are cut further by bytes (``groups``).
+#: Rows that are worked on at a time.  Spark bounds the bytes of an Arrow batch; texts are cut further by bytes (``groups``).
 BATCH_ROWS = 256
+#: Folder, below that of the application, of tables that are written now.
+_FOLDER: contextvars.ContextVar[str] = contextvars.ContextVar("folder", default="tables")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the corpus folder."""
-    tune(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tune(spark: SparkSession) -> None:
-    """Keep Arrow batches of long texts small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def small(batches) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``BATCH_ROWS`` rows, whatever the session's size of a batch."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(a, BATCH_ROWS)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is set, as in tests."""
+    """This application's folder below the one that driver and executors share.
+
+    Where none is set, a local master has a temporary one (all run on one machine), as in tests; on a cluster that is an
+    error, because executors would write to disks of their own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="barsmith-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return f"{folder}/barsmith-{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: a cut in the lineage that outlives executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/barsmith/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{_FOLDER.get()}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession) -> None:
-    """Remove all intermediate tables of the shared folder, once the results that read them are written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/barsmith")
+def drop_written(spark: SparkSession, folder: str = "") -> None:
+    """Remove this application's intermediate tables, once the results that read them are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{folder}".rstrip("/"))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are written inside go to a folder of their own, which is removed at the end."""
+    folder = f"scratch-{uuid.uuid4().hex}"
+    before = _FOLDER.set(folder)
+    try:
+        yield
+    finally:
+        _FOLDER.reset(before)
+        drop_written(spark, folder)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, or a longer one if the table has such a column, in whatever case."""
     taken = {c.lower() for c in df.columns}

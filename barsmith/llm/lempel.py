@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barsmith.llm.common import partitions_for, written
+from barsmith.llm.common import partitions_for, small, written
 from barsmith.llm.rolling import Prefix, byte_codes
 
 BINS = 128
@@ -118,7 +118,7 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def walk(batches):
         at, waiting, id_type = TaskContext.get().partitionId(), None, None
-        for batch in batches:
+        for batch in small(batches):
             rows, id_type = [], batch.schema.field(0).type
             for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 now = _Open(id_, text)
@@ -141,7 +141,7 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     lasts = walked.where("place = 'last'").select("id", "text", "range").join(order, "range").join(firsts, "next").select("id", "text", "next_text")
 
     def meet(batches):
-        for batch in batches:
+        for batch in small(batches):
             yield batch_of([_Open(i, a).close(b, fingerprint(b)) for i, a, b in zip(*(c.to_pylist() for c in batch.columns))], batch.schema.field(0).type)
 
     return walked.where("place = 'row'").select(*names).unionByName(lasts.mapInArrow(meet, kinds))

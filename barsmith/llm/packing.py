@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barsmith.llm.common import utf8, written
+from barsmith.llm.common import small, utf8, written
 from barsmith.llm.tokenizers import fast, ranks
 
 LENGTH = 1024
@@ -63,7 +63,7 @@ def pieces(docs: DataFrame, json_path: str, rank_path: str | None = None, patter
     kind = docs.schema[id_col].dataType.simpleString()
 
     def each(batches):
-        for batch in batches:
+        for batch in small(batches):
             column = batch.column(1).fill_null("")
             texts = column.to_pylist()
             data, at = utf8(column)

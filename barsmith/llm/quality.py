@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barsmith.llm.common import groups, utf8, written
+from barsmith.llm.common import groups, small, utf8, written
 from barsmith.llm.rolling import Prefix, byte_codes, words
 
 SAMPLE = 20000
@@ -151,7 +151,7 @@ def _summed(rows: DataFrame, f, size: int) -> np.ndarray:
 
     def partial(batches):
         total = np.zeros(size)
-        for batch in batches:
+        for batch in small(batches):
             stats = np.array(batch.column(2).flatten()).reshape(-1, N_STATS)
             total += f(np.array(batch.column(0)), np.array(batch.column(1), dtype=np.float64), stats)
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], ["cells"])
@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = chosen.orderBy(F.xxhash64("id"), "id", "y").limit(sample).withColumn("fold", F.xxhash64(F.col("id"), F.lit(1)).bitwiseAND(F.lit(1)).cast("int"))
 
     def measure(batches):
-        for batch in batches:
+        for batch in small(batches):
             stats = stats_of(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(np.arange(0, stats.size + 1, N_STATS, dtype=np.int32), stats.ravel())], ["fold", "y", "stats"])
 
@@ -199,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     apart = [solve(cells[1]), solve(cells[0])]  # the fit for a fold has not seen it
 
     def score(batches):
-        for batch in batches:
+        for batch in small(batches):
             fold = np.array(batch.column(0))
             z = fourier(np.array(batch.column(2).flatten()).reshape(-1, N_STATS), centre, scale)
             yield pa.RecordBatch.from_arrays([pa.array(np.where(fold == 0, z @ apart[0], z @ apart[1])), batch.column(1)], ["s", "y"])
@@ -217,7 +217,7 @@ def scores(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sc
     kinds = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
 
     def each(batches):
-        for batch in batches:
+        for batch in small(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(stats_of(batch.column(where))))], [*names, out])
 
     return docs.mapInArrow(each, kinds)

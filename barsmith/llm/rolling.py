@@ -8,6 +8,7 @@ of one document that share a minimiser: it is the unit that is dealt over the cl
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 import numpy as np
 
@@ -110,21 +111,34 @@ def side_keys(views: np.ndarray, least: np.ndarray, gram: int) -> np.ndarray:
     return key
 
 
-def split_crowded(grams: np.ndarray, run: np.ndarray, size: np.ndarray, least: np.ndarray, crowd: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs whose minimiser is in ``crowd`` cut to runs with one side key, and that key mixed into their minimisers."""
-    hit = np.isin(least, crowd)
+def split_crowded(grams: np.ndarray, run: np.ndarray, size: np.ndarray, least: np.ndarray, crowds: tuple[np.ndarray, np.ndarray], width: int, gram: int, window: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs whose minimiser is in ``crowds[0]`` cut to runs with one side key, mixed into their minimisers; those whose mixed
+    minimiser is in ``crowds[1]`` cut to windows, under the hash of the whole window (``window(starts)``) instead.
+
+    Returns start, length, minimiser and level (0: not cut, 1: by side keys, 2: single windows) of each run.
+    """
+    hit = np.isin(least, crowds[0])
     if not hit.any():
-        return run, size, least
-    owner = np.repeat(np.flatnonzero(hit), size[hit])
-    start = run[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(size[hit]) - size[hit], size[hit])
+        return run, size, least, np.zeros(len(run), np.int8)
+    owner, start = _windows(run[hit], size[hit])
+    first = least[hit][owner]
     views = np.lib.stride_tricks.sliding_window_view(grams, width)
-    key = np.concatenate([side_keys(views[start[a : a + 2048]], least[owner[a : a + 2048]], gram) for a in range(0, len(start), 2048)])
+    key = np.concatenate([side_keys(views[start[a : a + 2048]], first[a : a + 2048], gram) for a in range(0, len(start), 2048)])
     at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]))
-    run = np.concatenate([run[~hit], start[at]])
-    size = np.concatenate([size[~hit], np.diff(np.append(at, len(key)))])
-    least = np.concatenate([least[~hit], mix(least[owner[at]] ^ key[at])])
+    cut, long, mixed = start[at], np.diff(np.append(at, len(key))), mix(first[at] ^ key[at])
+    again = np.isin(mixed, crowds[1])
+    single = _windows(cut[again], long[again])[1]
+    parts = [(run[~hit], size[~hit], least[~hit], 0), (cut[~again], long[~again], mixed[~again], 1), (single, np.ones(len(single), size.dtype), window(single), 2)]
+    run, size, least = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    level = np.repeat(np.array([0, 1, 2], np.int8), [len(p[0]) for p in parts])
     order = np.argsort(run, kind="stable")
-    return run[order], size[order], least[order]
+    return run[order], size[order], least[order], level[order]
+
+
+def _windows(run: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the run, and start, of every window."""
+    owner = np.repeat(np.arange(len(run)), size)
+    return owner, run[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
 
 
 _SPACE = np.zeros(256, bool)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barsmith.llm.automaton import Dfa, compile_rules, parse, reverse
-from barsmith.llm.common import utf8
+from barsmith.llm.common import small, utf8
 
 
 @dataclass(frozen=True)
@@ -113,7 +113,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
 
     def each(batches):
         machine = scanner(rules)
-        for batch in batches:
+        for batch in small(batches):
             data, at = utf8(batch.column(1))
             out = []
             for a, b in zip(at[:-1], at[1:]):
@@ -140,7 +140,7 @@ def redacted(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] =
 
     def each(batches):
         machine = scanner(rules)
-        for batch in batches:
+        for batch in small(batches):
             data, at = utf8(batch.column(where))
             valid = batch.column(where).is_valid().to_pylist()
             out = []

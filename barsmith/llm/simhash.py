@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barsmith.llm.common import utf8, written
+from barsmith.llm.common import small, utf8, written
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 PIVOTS = 16
@@ -62,7 +62,7 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kind = docs.schema[id_col].dataType.simpleString()
 
     def each(batches):
-        for batch in batches:
+        for batch in small(batches):
             data, at = utf8(batch.column(1))
             prints = np.array([fingerprint(data[a:b].tobytes(), shingle) for a, b in zip(at[:-1], at[1:])], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["id", "fp"])
@@ -139,7 +139,7 @@ def links(prints: DataFrame, most: int = 3) -> DataFrame:
     gathered = cells.agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1").select("fps")
 
     def within(batches):
-        for batch in batches:
+        for batch in small(batches):
             a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
             for fps in batch.column(0):
                 x, y = forest(np.sort(fps.values.to_numpy().astype(np.int64).view(np.uint64)), most)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barsmith.llm.common import written
+from barsmith.llm.common import small, written
 
 QUERY_BLOCK, ROW_BLOCK = 2048, 8192
 
@@ -32,7 +32,7 @@ def quantised(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     """Rows (id, dim, vec: components as binary 64-bit integers) of the vectors that take part."""
 
     def each(batches):
-        for batch in batches:
+        for batch in small(batches):
             ids, dims, out = [], [], []
             for i, vec in enumerate(batch.column(1)):
                 if not vec.is_valid or vec.values.null_count:
@@ -93,7 +93,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, query_block: int = Q
     meets = asked.join(F.broadcast(sizes), "dim").select("dim", "q", "q_ids", "q_vecs", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("c"))
 
     def gather(batches):
-        for batch in batches:
+        for batch in small(batches):
             q_out, s_out = [], []
             for dim, q_ids, q_vecs, blocks, c_ids, c_vecs in zip(*(batch.column(i) for i in range(6))):
                 a, b = _matrix(q_vecs.values, dim.as_py()), _matrix(c_vecs.values, dim.as_py())
@@ -117,7 +117,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, query_block: int = Q
     cuts = written(cuts, "cutoffs")
 
     def collect(batches):
-        for batch in batches:
+        for batch in small(batches):
             out = [[], [], []]
             for dim, q_ids, q_vecs, cut, c_ids, c_vecs in zip(*(batch.column(i) for i in range(6))):
                 a, b = _matrix(q_vecs.values, dim.as_py()), _matrix(c_vecs.values, dim.as_py())

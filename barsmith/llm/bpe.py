@@ -75,8 +75,17 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
 
     # The scan deals the same rows to the same partitions each time, so this number names a row for good.
     long = own.where(F.col("size") > chunk).withColumn("row", F.monotonically_increasing_id())
-    pieces = long.select("row", "id", "size", "text", F.explode(F.sequence(F.lit(0), ((F.col("size") - 1) / chunk).cast("int"))).alias("no"))
-    pieces = pieces.select("row", "id", "size", "no", F.expr(f"substring(text, no * {chunk} + 1, {chunk + overlap})").alias("text")).repartition("row", "no")
+
+    def deal(batches):
+        for batch in small(batches):
+            for row, (size, text) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                numbers = range((size - 1) // chunk + 1)
+                for a in range(0, len(numbers), 64):  # one pass over a text of any length
+                    own = numbers[a : a + 64]
+                    at = pa.array([row] * len(own), pa.int32())
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(3)), pa.array(own, pa.int32()), pa.array([text[n * chunk : (n + 1) * chunk + overlap] for n in own], pa.string())], ["row", "id", "size", "no", "text"])
+
+    pieces = long.select("row", "id", "size", "text").mapInArrow(deal, f"row long, id {kind}, size int, no int, text string").repartition("row", "no")
 
     def split(batches):
         for batch in small(batches):

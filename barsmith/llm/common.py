@@ -49,10 +49,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{folder}/barsmith-{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, folder: str | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: a cut in the lineage that outlives executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{_FOLDER.get()}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{folder or _FOLDER.get()}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -65,11 +65,11 @@ def drop_written(spark: SparkSession, folder: str = "") -> None:
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
-    """Tables that are written inside go to a folder of their own, which is removed at the end."""
-    folder = f"scratch-{uuid.uuid4().hex}"
+    """Tables that are written inside go to a folder of their own, which is removed at the end; what is given writes one that stays."""
+    folder, outside = f"scratch-{uuid.uuid4().hex}", _FOLDER.get()
     before = _FOLDER.set(folder)
     try:
-        yield
+        yield lambda df, what: written(df, what, outside)
     finally:
         _FOLDER.reset(before)
         drop_written(spark, folder)

@@ -12,7 +12,12 @@ hand, parses the half that text and edited text share once, and hands over only
 neighbouring ranges need.  These, two for each partition, meet in a join.
 
 Null texts count as empty.  Null ids come first; rows with one id follow in the order of the hashes of their texts, so
-that one id can be spread over several ranges.  A single document is its own next one.  Other columns are not read.
+that one id can be spread over several ranges.  A single document is its own next one.  Other columns are not read.  An empty table gives
+an empty result.
+
+Memory: a parse keeps its dictionary, some 100 to 140 bytes for each phrase of 5 to 12 bytes of prose, and a document
+fingerprinted with its edit keeps two (of the shared half, and a copy of it that goes on), one text at a time.  A text of
+100 MB so needs some 3 GB; none is cut.
 """
 
 from __future__ import annotations

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barsmith.llm.common import small, utf8, written
-from barsmith.llm.tokenizers import fast, ranks
+from barsmith.llm.tokenizers import added, fast, ranks
 
 LENGTH = 1024
 END = 2
@@ -42,12 +42,13 @@ def token_ids(texts: list[str], odd: np.ndarray, json_path: str, rank_path: str
     """Ids of each text by the ``tokenizers`` file.
 
     ``rank_path`` names the same vocabulary as ranks.  Both split alike below U+2000 without control characters (tests
-    walk through these code points), and ranks are encoded three times as fast; texts with other characters (``odd``)
-    go to the ``tokenizers`` library.
+    walk through these code points), and ranks are encoded three times as fast; texts with other characters (``odd``) or
+    with strings of added tokens, such as ``<|endoftext|>``, go to the ``tokenizers`` library.
     """
     if rank_path is None:
         return [np.array(x.ids, dtype="<u4") for x in fast(json_path).encode_batch(texts, add_special_tokens=False)]
-    encode = ranks(rank_path, pattern).encode_ordinary
+    encode, names = ranks(rank_path, pattern).encode_ordinary, added(json_path)
+    odd = [bool(o) or any(x in t for x in names) for t, o in zip(texts, odd)]
     rest = iter(fast(json_path).encode_batch([t for t, o in zip(texts, odd) if o], add_special_tokens=False))
     return [np.array(next(rest).ids if o else encode(t), dtype="<u4") for t, o in zip(texts, odd)]
 

@@ -8,9 +8,11 @@ Candidates are found by one regular expression and validated by their own rules;
   behind the country if none is right, is searched again (but for a value that goes on behind the candidate, which has
   eight groups and a shorter one at most); country and letters stay, digits change, the check digits are made anew;
 * ``ssn``   ddd-dd-dddd with a possible area, group and serial;
-* ``phone`` national (ddd) ddd-dddd and the like, or international with +; the country code stays;
+* ``phone`` national (ddd) ddd-dddd and the like, with a trunk 0 (9 to 12 digits in all, the first two stay), or international with +
+  and 8 to 15 digits in groups of any size; the country code stays;
 * ``ip``    four octets up to 255;
-* ``date``  a real day of 1800 to 2199 as y-m-d, m/d/y (d/m/y if it can't be that) or d.m.y;
+* ``date``  a real day of 1800 to 2199 as y-m-d, m/d/y (d/m/y if it can't be that) or d.m.y; days and months of one digit stay
+  of one digit (so a day written with and without zeros has two pseudonyms);
 * ``email`` an address, which has no number format: it becomes letters made from a keyed hash of it.
 
 A value goes through an alternating Feistel network of ten rounds whose round function is SHA-256 of the key, the kind,
@@ -18,7 +20,9 @@ the round and one half; halves are added modulo the sizes of their own domains (
 the 146,097 days of 400 years), so it is a permutation of just the valid values and separators stay in place.  Equal
 values become equal ones in all documents, different ones of one kind and length different ones.  Nothing is shuffled.
 
-Null texts stay null, repeated rows are treated each, other columns pass (one named like the list of kinds gives way);
+The key comes to the plan as a scalar subquery over a table of one row, so that it stands in no plan, event log or explanation.
+
+Null texts stay null, empty ones empty, texts of any length are searched whole, an empty table gives an empty one, ids are not read, repeated rows are treated each, other columns pass (one named like the list of kinds gives way);
 candidates that overlap: the leftmost counts.
 """
 
@@ -56,7 +60,7 @@ _FORMS = {
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9/-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?:\+[0-9]{1,3}[ .-]?|(?<![0-9+.-]))(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|\+[0-9]{1,3}(?:[ .-][0-9]{2,8}){2,5}(?![0-9])|\+[0-9]{8,15}(?![0-9])",
+    "phone": r"(?:\+[0-9]{1,3}[ .-]?|(?<![0-9+.-]))(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|\+[0-9]{1,3}(?:[ .-][0-9]{1,8}){2,6}(?![0-9])|\+[0-9]{8,15}(?![0-9])|(?<![0-9+./-])0[1-9][0-9]{0,3}(?:[ -][0-9]{2,8}){1,4}(?![0-9/-])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
 }
 PATTERN = "|".join(f"(?:{p})" for p in _FORMS.values())
@@ -124,18 +128,21 @@ def _date(key: str, m: str) -> tuple[str, str]:
     """Whether ``m`` is a day of the 400 years, and its pseudonym."""
     p = f"split({m}, '[-/.]')"
     part = lambda k: f"cast(element_at({p}, {k}) AS int)"
+    size = lambda k: f"length(element_at({p}, {k}))"
     iso, slash = f"{m} LIKE '%-%'", f"{m} LIKE '%/%'"
     month_first = f"({slash} AND {part(1)} BETWEEN 1 AND 12 AND {part(2)} <= 31)"
-    fields = f"CASE WHEN {iso} THEN named_struct('y', {part(1)}, 'm', {part(2)}, 'd', {part(3)}, 'f', 'ymd') WHEN {month_first} THEN named_struct('y', {part(3)}, 'm', {part(1)}, 'd', {part(2)}, 'f', 'mdy') ELSE named_struct('y', {part(3)}, 'm', {part(2)}, 'd', {part(1)}, 'f', CASE WHEN {slash} THEN 'only' ELSE 'dmy' END) END"
+    fields = f"CASE WHEN {iso} THEN named_struct('y', {part(1)}, 'm', {part(2)}, 'd', {part(3)}, 'f', 'ymd', 'v', 2, 'w', 2) WHEN {month_first} THEN named_struct('y', {part(3)}, 'm', {part(1)}, 'd', {part(2)}, 'f', 'mdy', 'v', {size(1)}, 'w', {size(2)}) ELSE named_struct('y', {part(3)}, 'm', {part(2)}, 'd', {part(1)}, 'f', CASE WHEN {slash} THEN 'only' ELSE 'dmy' END, 'v', {size(2)}, 'w', {size(1)}) END"
     leap = "(f.y % 4 = 0 AND (f.y % 100 != 0 OR f.y % 400 = 0))"
     days = f"CASE WHEN f.m IN (4, 6, 9, 11) THEN 30 WHEN f.m = 2 THEN (CASE WHEN {leap} THEN 29 ELSE 28 END) ELSE 31 END"
     valid = _bind("f", fields, f"f.y BETWEEN 1800 AND 2199 AND f.m BETWEEN 1 AND 12 AND f.d BETWEEN 1 AND {days}")
     number = _big("datediff(make_date(f.y, f.m, f.d), DATE'1800-01-01')")
     step = _feistel(key, "date", "w.x div 773", "w.x % 773", "189L", "773L", "s.l * 773 + s.r")
-    # A day that is written day first only because it can't be otherwise stays one: the walk goes on until it is.
-    good = "(NOT w.o OR day(date_add(DATE'1800-01-01', cast(w.x AS int))) > 12)"
+    # A day that is written day first only because it can't be otherwise stays one, and what has one digit keeps one: the walk goes on until it is so.
+    new = "date_add(DATE'1800-01-01', cast(w.x AS int))"
+    good = f"((NOT w.o OR day({new}) > 12) AND (f.v = 2 OR month({new}) < 10) AND (f.w = 2 OR day({new}) < 10))"
     walked = f"aggregate(sequence(1, 200), named_struct('x', {number}, 'n', 0, 'o', f.f = 'only'), (w, q) -> CASE WHEN w.n > 0 AND {good} THEN w ELSE named_struct('x', {step}, 'n', w.n + 1, 'o', w.o) END, w -> date_add(DATE'1800-01-01', cast(w.x AS int)))"
-    text = f"CASE f.f WHEN 'ymd' THEN date_format(z, 'yyyy-MM-dd') WHEN 'mdy' THEN date_format(z, 'MM/dd/yyyy') WHEN 'only' THEN date_format(z, 'dd/MM/yyyy') ELSE date_format(z, 'dd.MM.yyyy') END"
+    month, day, year = "lpad(cast(month(z) AS string), f.v, '0')", "lpad(cast(day(z) AS string), f.w, '0')", "cast(year(z) AS string)"
+    text = f"CASE f.f WHEN 'ymd' THEN concat_ws('-', {year}, {month}, {day}) WHEN 'mdy' THEN concat_ws('/', {month}, {day}, {year}) WHEN 'only' THEN concat_ws('/', {day}, {month}, {year}) ELSE concat_ws('.', {day}, {month}, {year}) END"
     return valid, _bind("f", fields, _bind("z", walked, text))
 
 
@@ -181,7 +188,10 @@ def _value(key: str, m: str, again: bool = True) -> str:
     new_area = "CASE WHEN s.l < 665 THEN s.l + 1 ELSE s.l + 2 END"
     ssn = _feistel(key, "ssn", f"CASE WHEN {area} < 666 THEN {area} - 1 ELSE {area} - 2 END", f"({group} - 1) * 9999 + {serial} - 1", "898L", "989901L", f"concat_ws('-', lpad(cast({new_area} AS string), 3, '0'), lpad(cast(s.r div 9999 + 1 AS string), 2, '0'), lpad(cast(s.r % 9999 + 1 AS string), 4, '0'))")
 
-    code = f"CASE WHEN {m} RLIKE '^[+][0-9]{{8,}}$' THEN substr({m}, 1, 2) ELSE regexp_extract({m}, '^[+][0-9]+', 0) END"
+    # A number with a trunk 0 keeps its first two digits, so it stays one.
+    trunk = f"{m} RLIKE '^0[1-9][0-9]{{0,3}}(?:[ -][0-9]{{2,8}}){{1,4}}$' AND NOT {m} RLIKE '^[0-9]{{3}}[ -][0-9]{{3}}[ -][0-9]{{4}}$'"
+    code = f"CASE WHEN {m} RLIKE '^[+][0-9]{{8,}}$' OR ({trunk}) THEN substr({m}, 1, 2) ELSE regexp_extract({m}, '^[+][0-9]+', 0) END"
+    phone_ok = f"(CASE WHEN {trunk} THEN length({d}) BETWEEN 9 AND 12 ELSE length({d}) BETWEEN 8 AND 15 END)"
     rest = "substr(%s, length(h) + 1)" % m
     phone = _bind("h", code, f"concat(h, {_put(rest, _permuted_digits(key, 'phone', _digits(rest)))})")
 
@@ -195,21 +205,23 @@ def _value(key: str, m: str, again: bool = True) -> str:
         WHEN {is_('ip')} THEN {made('ip', ip)}
         WHEN {is_('date')} THEN CASE WHEN {date_ok} THEN {made('date', date)} ELSE {nothing} END
         WHEN {is_('ssn')} THEN CASE WHEN {ssn_ok} THEN {made('ssn', ssn)} ELSE {nothing} END
-        WHEN {is_('phone')} THEN {made('phone', phone)}
+        WHEN {is_('phone')} THEN CASE WHEN {phone_ok} THEN {made('phone', phone)} ELSE {nothing} END
         WHEN {is_('card')} THEN CASE WHEN {_luhn(d)} = 0 THEN {made('card', card)} ELSE {nothing} END
         ELSE {nothing} END"""
 
 
 def pseudonyms(docs: DataFrame, key: str, text_col: str = "text", found_col: str = "found") -> DataFrame:
     """``docs`` with pseudonyms in the text, and in ``found_col`` the kinds of the values replaced, in order."""
-    if not key or "'" in key or "\\" in key:
-        raise ValueError("the key must be a string without quotes or backslashes")
+    if not key:
+        raise ValueError("the key must not be empty")
     text = f"`{text_col}`"
     found_, values = unused(docs, "__candidates"), unused(docs, "__values")
     some = f"{text} RLIKE '[0-9@]'"
     candidates = f"CASE WHEN {some} THEN regexp_extract_all({text}, {_quoted(PATTERN)}, 0) END"
-    value = _value("'" + key + "'", "m")
-    step = docs.withColumn(found_, F.expr(candidates)).withColumn(values, F.expr(f"CASE WHEN size({found_}) > 0 THEN transform({found_}, m -> {value}) END"))
+    secret = unused(docs, "__secret")
+    value = _value(secret, "m")
+    keyed = docs.withColumn(secret, docs.sparkSession.createDataFrame([(key,)], "key string").scalar())
+    step = keyed.withColumn(found_, F.expr(candidates)).withColumn(values, F.expr(f"CASE WHEN size({found_}) > 0 THEN transform({found_}, m -> {value}) END"))
     joined = f"CASE WHEN {values} IS NULL THEN {text} ELSE {_joined(text, PATTERN, values)} END"
     found = f"flatten(transform(coalesce({values}, array()), v -> v.kinds))"
     kept = [F.expr(joined).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c.lower() != found_col.lower()]

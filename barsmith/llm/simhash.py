@@ -6,7 +6,8 @@ shingles' XXH64 hashes (seed 42).  No words, or a null text: fingerprint zero, l
 
 Linking works on *distinct* fingerprints, so exact copies cost one row each:
 
-1. the distances of each fingerprint to ``PIVOTS`` reference fingerprints are precomputed (the pivot table);
+1. the distances of each fingerprint to ``PIVOTS`` reference fingerprints are precomputed once (the pivot table), go with it
+   wherever it is dealt, and are all that pairs are first compared by;
 2. the 64 bits are cut into six blocks; two fingerprints that differ in up to three bits agree in three blocks, so each
    fingerprint is dealt to its 20 triples of blocks and meets its neighbours in one of them;
 3. within a triple, a pair is discarded if its pivot distances differ by more than ``most`` anywhere (the triangle
@@ -82,10 +83,22 @@ def pivot_table(prints: np.ndarray) -> np.ndarray:
     return np.bitwise_count(prints[:, None] ^ pivots()[None, :]).astype(np.int16)
 
 
-def forest(prints: np.ndarray, most: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of distinct fingerprints linked at ``most`` or fewer differing bits."""
+def with_pivots(prints: DataFrame) -> DataFrame:
+    """Rows (fp, table: the distances to the pivots, a byte each)."""
+
+    def each(batches):
+        for batch in batches:
+            fps = np.asarray(batch.column(0)).view(np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in pivot_table(fps).astype(np.uint8)], pa.binary())], ["fp", "table"])
+
+    return prints.select("fp").mapInArrow(each, "fp long, table binary")
+
+
+def forest(prints: np.ndarray, table: np.ndarray, most: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of distinct fingerprints linked at ``most`` or fewer differing bits; ``table``: their distances
+    to the pivots."""
     n = len(prints)
-    table, parent = pivot_table(prints), np.arange(n)
+    table, parent = table.astype(np.int16), np.arange(n)
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -125,24 +138,28 @@ def _signed(mask: int) -> int:
 
 
 def links(prints: DataFrame, most: int = 3) -> DataFrame:
-    """Edges (a, b) that connect just what links at ``most`` (up to 3) differing bits; ``prints`` has distinct ``fp``."""
+    """Edges (a, b) that connect just what links at ``most`` (up to 3) differing bits; ``prints`` has distinct ``fp`` and their
+    ``table`` (see ``with_pivots``)."""
     if not 0 <= most <= 3:
         raise ValueError("three equal blocks of six are sure for up to three differing bits")
     masks = [sum(x) for x in combinations(_blocks(), 3)]
     deals = F.array(*[F.struct(F.lit(i).alias("no"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for i, m in enumerate(masks)])
-    dealt = prints.select("fp", F.explode(deals).alias("k")).select("fp", "k.no", "k.bits")
+    dealt = prints.select("fp", "table", F.explode(deals).alias("k")).select("fp", "table", "k.no", "k.bits")
     counts = dealt.groupBy("no", "bits").agg(F.count("*").alias("n")).where("n > 1")
     # A crowded triple is cut into blocks by a hash, and each pair of blocks is a cell of its own.
     met = dealt.join(counts, ["no", "bits"]).withColumn("cut", F.ceil(F.col("n") / HOT).cast("int"))
     met = met.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("cut")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1))).where("cut = 1 OR own != other")
     cells = met.groupBy("no", "bits", F.least("own", "other").alias("row"), F.greatest("own", "other").alias("col"))
-    gathered = cells.agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1").select("fps")
+    gathered = cells.agg(F.collect_list(F.struct("fp", "table")).alias("rows")).where("size(rows) > 1").select("rows")
 
     def within(batches):
         for batch in small(batches):
             a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-            for fps in batch.column(0):
-                x, y = forest(np.sort(fps.values.to_numpy().astype(np.int64).view(np.uint64)), most)
+            for rows in batch.column(0):
+                rows = rows.values
+                fps, tables = rows.field("fp").to_numpy().astype(np.int64).view(np.uint64), np.frombuffer(b"".join(rows.field("table").to_pylist()), np.uint8).reshape(-1, PIVOTS)
+                order = np.argsort(fps)
+                x, y = forest(fps[order], tables[order], most)
                 a.append(x)
                 b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], ["a", "b"])
@@ -184,7 +201,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Rows (id, fp, component), one for each row of ``docs``."""
     prints = written(with_fingerprints(docs, id_col, text_col, shingle), "prints")
     distinct = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = components(links(distinct.select("fp"), most))
+    roots = components(links(written(with_pivots(distinct), "pivots"), most))
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component"))
     classes = named.select("fp", "root").join(names, "root").select("fp", "component")

@@ -38,13 +38,20 @@ def pretokens(pattern: str):
 
 
 @functools.lru_cache(maxsize=2)
-def fast(path: str):
-    """A ``tokenizers`` tokenizer; strings of special tokens inside a text are ordinary text."""
+def fast(path: str, special_as_text: bool = False):
+    """A ``tokenizers`` tokenizer as its file has it: strings of special tokens inside a text are these tokens, unless
+    ``special_as_text``."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True
+    made.encode_special_tokens = special_as_text
     return made
+
+
+@functools.lru_cache(maxsize=4)
+def added(path: str) -> tuple[str, ...]:
+    """Strings of the tokens that a ``tokenizers`` file adds to its vocabulary."""
+    return tuple(t.content for t in fast(path).get_added_tokens_decoder().values())

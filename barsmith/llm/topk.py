@@ -6,10 +6,13 @@ block of queries against one block of candidates, a matrix product in memory of
 1. *Gather*: every cell sends, for each query, the best ``ceil(k / blocks)`` entries of its local list.  Together these
    are k entries or more, so the k-th best of them bounds the true k-th score from below.
 2. *Cut off*: that bound goes back to the cells, joined by query block (it grows with the queries, so it isn't
-   broadcast).  Every cell sends all its entries that reach it.
+   broadcast).  Every cell sends the entries that reach it, of more than k for one query, as with ties, the k best by (score,
+   smaller id), since no other entry of the cell can be among the k best of all.
 3. *Resolve*: the scores of these entries, products in floating point up to here with a bound on their error taken off
    the cutoff, are computed exactly in integers, ranked by (score, smaller id), and cut at k.
 
+Ranks are limited where rows are, before they are dealt, so a query's entries are never gathered: a task sends k at most.
+
 Vectors that are null, or hold null or non-finite components, take no part; nor do rows with a null id or of another
 length than the query.  Repeated ids are candidates each; a query's own id is none, and of
 queries with one id the one with the smallest vector asks.  A query with fewer than k
@@ -20,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barsmith.llm.common import small, written
@@ -29,7 +32,7 @@ QUERY_BLOCK, ROW_BLOCK = 2048, 8192
 
 
 def quantised(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64) -> DataFrame:
-    """Rows (id, dim, vec: components as binary 64-bit integers) of the vectors that take part."""
+    """Rows (id, dim, vec: components as binary integers of 1, 2, 4 or 8 bytes, as they need) of the vectors that take part."""
 
     def each(batches):
         for batch in small(batches):
@@ -39,11 +42,12 @@ def quantised(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
                     continue
                 x = np.floor(scale * np.asarray(vec.values, dtype=np.float64))
                 if np.isfinite(x).all():
-                    if len(x) and np.abs(x).max() >= 2.0**62:
+                    most = np.abs(x).max(initial=0)
+                    if most >= 2.0**62:
                         raise OverflowError("a quantised component exceeds 64 bits")
                     ids.append(i)
                     dims.append(len(x))
-                    out.append(x.astype("<i8").tobytes())
+                    out.append(x.astype(next(f"<i{w}" for w in (1, 2, 4, 8) if most < 2 ** (8 * w - 1))).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int32())), pa.array(dims, pa.int32()), pa.array(out, pa.binary())], ["id", "dim", "vec"])
 
     own = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where("id IS NOT NULL AND vec IS NOT NULL")
@@ -61,7 +65,8 @@ def _blocks(rows: DataFrame, most: int, name: str) -> tuple[DataFrame, DataFrame
 
 
 def _matrix(vecs, dim: int) -> np.ndarray:
-    return np.stack([np.frombuffer(v.as_buffer(), "<i8") for v in vecs]) if dim else np.zeros((len(vecs), 0), "<i8")
+    raw = [v.as_buffer() for v in vecs]
+    return np.stack([np.frombuffer(b, f"<i{b.size // dim}").astype(np.int64) for b in raw]) if dim else np.zeros((len(raw), 0), np.int64)
 
 
 def _scores(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
@@ -82,6 +87,18 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def enough(a: np.ndarray, b: np.ndarray, queries: np.ndarray, ids: np.ndarray, cuts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, exact score) of a cell's entries that reach their query's cutoff, the k best by (score, smaller id) of each query."""
+    scores, error = _scores(a, b)
+    i, j = np.nonzero((scores + error >= cuts[:, None]) & (queries[:, None] != ids[None, :]))
+    exact = np.concatenate([np.zeros(0, np.int64), *(_exact(a[i[s : s + (1 << 16)]], b[j[s : s + (1 << 16)]]) for s in range(0, len(i), 1 << 16))])
+    order = np.lexsort((ids[j], -exact, i))
+    i, j, exact = i[order], j[order], exact[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i, side="left")
+    few = place < k
+    return queries[i[few]], ids[j[few]], exact[few]
+
+
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK) -> DataFrame:
     """Rows (query_id, rank, id, score): the ``k`` best of ``rows`` for each of ``queries``, both from ``quantised``."""
     rows = written(rows, "vectors")
@@ -110,28 +127,21 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, query_block: int = Q
 
     cells = meets.join(candidates, ["dim", "c"])
     first = cells.select("dim", "q_ids", "q_vecs", "blocks", "c_ids", "c_vecs").mapInArrow(gather, "query long, score double")
-    cutoff = first.groupBy("query").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s"))
-    cutoff = cutoff.select("query", F.expr(f"CASE WHEN size(s) >= {k} THEN s[{k - 1}] ELSE double('-inf') END").alias("cut"))
+    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))
+    cutoff = first.withColumn("rank", best).where(F.col("rank") <= k).groupBy("query").agg(F.min("score").alias("least"), F.count("*").alias("n"))
+    cutoff = cutoff.select("query", F.when(F.col("n") >= k, F.col("least")).otherwise(F.lit(float("-inf"))).alias("cut"))
     at = asked.select("dim", "q", F.posexplode("q_ids").alias("pos", "query")).join(cutoff, "query", "left")
     cuts = at.groupBy("dim", "q").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("cut", F.lit(float("-inf"))).alias("cut")))), lambda x: x.cut).alias("cuts"))
     cuts = written(cuts, "cutoffs")
 
     def collect(batches):
         for batch in small(batches):
-            out = [[], [], []]
             for dim, q_ids, q_vecs, cut, c_ids, c_vecs in zip(*(batch.column(i) for i in range(6))):
                 a, b = _matrix(q_vecs.values, dim.as_py()), _matrix(c_vecs.values, dim.as_py())
-                scores, error = _scores(a, b)
-                queries, ids = np.asarray(q_ids.values), np.asarray(c_ids.values)
-                i, j = np.nonzero((scores + error >= np.asarray(cut.values)[:, None]) & (queries[:, None] != ids[None, :]))
-                for s in range(0, len(i), 1 << 16):
-                    x, y = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
-                    for to, part in zip(out, (queries[x], ids[y], _exact(a[x], b[y]))):
-                        to.append(part)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in out], ["query_id", "id", "score"])
-
-    enough = meets.drop("blocks").join(cuts, ["dim", "q"]).join(candidates, ["dim", "c"])
-    enough = enough.select("dim", "q_ids", "q_vecs", "cuts", "c_ids", "c_vecs").mapInArrow(collect, "query_id long, id long, score long")
-    best = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id")))
-    ranked = enough.groupBy("query_id").agg(F.slice(best, 1, k).alias("l")).select("query_id", F.posexplode("l").alias("at", "e"))
-    return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("e.id").alias("id"), (-F.col("e.s")).alias("score"))
+                found = enough(a, b, np.asarray(q_ids.values), np.asarray(c_ids.values), np.asarray(cut.values), k)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["query_id", "id", "score"])
+
+    sent = meets.drop("blocks").join(cuts, ["dim", "q"]).join(candidates, ["dim", "c"])
+    sent = sent.select("dim", "q_ids", "q_vecs", "cuts", "c_ids", "c_vecs").mapInArrow(collect, "query_id long, id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return sent.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

@@ -1,4 +1,5 @@
 import datetime
+import hashlib
 import random
 import re
 import zlib
@@ -42,6 +43,16 @@ def test_packing(spark, bundle):
         assert [o for o, _ in b] == [sum(z for _, z in b[:k]) for k in range(len(b))] and sum(z for _, z in b) <= 64
 
 
+def test_ids_are_the_librarys(spark):
+    """Also of strings that a tokenizer file adds as tokens, by a tokenizer that nothing has been set on."""
+    from tokenizers import Tokenizer
+
+    plain, texts = Tokenizer.from_file(JSON), ["x <|endoftext|> y", "<|endoftext|>", "<|endoftext|>" * 3 + "é", "<|endoftext", "—<|endoftext|>", "plain words"]
+    got = packing.pieces(corpus.table(spark, list(enumerate(texts))), JSON, RANKS, pattern(), with_ids=True).collect()
+    want = {i: [*plain.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    assert {r.id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in got} == want and 50256 in want[0]
+
+
 def test_packing_fills():
     rnd = random.Random(2)
     sizes = [min(1023, 1 + int(rnd.expovariate(1 / 350))) for _ in range(6000)]
@@ -77,6 +88,16 @@ def test_top_k(spark, scale):
     assert sorted(map(tuple, got.collect())) == brute(vectors, 5)
 
 
+def test_ties_are_bounded(spark):
+    """Of any number of equal vectors a cell sends k entries a query, those of smallest id."""
+    df = spark.range(20_000).select((F.col("id") * 7 % 20_000).alias("vec_id"), F.array(F.lit(1.0), F.lit(0.5)).alias("embedding"))
+    got = topk.top_k(topk.quantised(df), topk.quantised(df.where("vec_id % 5000 = 0")), 20, row_block=4096).collect()
+    assert sorted(map(tuple, got)) == sorted((q, r + 1, i, 64 * 64 + 32 * 32) for q in range(0, 20_000, 5000) for r, i in enumerate([i for i in range(21) if i != q][:20]))
+    queries, ids, same = np.arange(50), np.arange(1000)[::-1], np.ones((1000, 2), np.int64)
+    q, i, s = topk.enough(same[:50], same, queries, ids, np.full(50, -np.inf), 20)
+    assert len(q) == 50 * 20 and i[q == 49].tolist() == list(range(20)) and i[q == 3].tolist() == [x for x in range(21) if x != 3] and set(s) == {2}
+
+
 def test_top_k_few_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(topk.quantised(df), topk.quantised(df.where("vec_id = 0")), 20).collect()] == [(0, 1, 1, 64 * 128)]
@@ -152,6 +173,30 @@ def test_quality(spark):
     assert len(held) > 80 and np.mean([(r.score >= 0.7) == truth[r.doc_id] for r in held]) > 0.97
 
 
+def test_quality_is_plain_ridge(spark):
+    """The summed normal equations are those of all rows at once, and the calibration that of scores a fit hasn't seen."""
+    rows, labels = labelled(spark, 200)
+    docs, known = corpus.table(spark, rows).repartition(5), spark.createDataFrame(labels, "doc_id long, quality int")
+    model = quality.fit(docs, known)
+    raw = [t.encode() for _, t in rows]
+    stats = np.stack([quality.statistics(np.frombuffer(b, np.uint8), np.array([0, len(b)]))[0] for b in raw])
+    y = np.array([dict(labels)[i] for i, _ in rows], float)
+    centre, scale = stats.mean(axis=0), stats.std(axis=0)
+    scale[scale < 1e-9] = 1
+    assert np.allclose(model.centre, centre) and np.allclose(model.scale, scale, atol=1e-6)
+    z = quality.fourier(stats, model.centre, model.scale)
+    ridge = lambda z, y: np.linalg.solve(z.T @ z + quality.RIDGE * len(rows) * np.eye(z.shape[1]) / quality.FEATURES, z.T @ y)
+    assert np.allclose(z @ model.weights, z @ ridge(z, y), atol=1e-6)
+    fold = np.array([r[0] for r in spark.createDataFrame([(i,) for i, _ in rows], "id long").selectExpr("cast(xxhash64(id, 1) & 1 AS int)").collect()])
+    unseen = np.where(fold == 0, z @ ridge(z[fold == 1], y[fold == 1]), z @ ridge(z[fold == 0], y[fold == 0]))
+    # Isotonic regression by its min-max formula.
+    order = np.argsort(unseen, kind="stable")
+    own = y[order]
+    level = [max(min(own[a : b + 1].mean() for b in range(i, len(own))) for a in range(i + 1)) for i in range(len(own))]
+    assert np.allclose(np.interp(unseen[order], model.knots, model.levels)[[0, -1]], [level[0], level[-1]], atol=1e-6) and np.allclose(sorted(set(np.round(level, 6))), sorted(set(np.round(model.levels, 6))))
+    assert quality.scores(corpus.table(spark, []), model).count() == 0
+
+
 def test_quality_without_labels(spark):
     docs = corpus.table(spark)
     for labels, want in (([], 0.5), ([(4, 1)], 1.0), ([(4, 0)], 0.0)):
@@ -237,6 +282,103 @@ def test_tokens_behind_ibans(spark):
     assert got2[wrong[4]] == (got[unknown][0] + " BE68 5390 0754", ["iban"])
 
 
+def test_phones(spark):
+    """Groups of one digit, and numbers with a trunk 0."""
+    values = ["+33 1 23 45 67 89", "+33 6 12 34 56 78", "020 7946 0958", "01 23 45 67 89", "0171 2345678", "+1 2 34567 8", "+44 20 7946 0958", "+33123456789"]
+    for v, (new, kinds) in pseudonym(spark, values).items():
+        assert kinds == ["phone"] and new != v and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", v) and new[:2] == v[:2], v
+    for v, (new, kinds) in pseudonym(spark, ["01-02-2003", "+1 2 3", "0 7946 0958", "020 79", "1.02 345"]).items():
+        assert (new, kinds) == (v, []), v
+
+
+def test_widths_of_dates(spark):
+    values = [f"{m}/{d}/{y}" for m in (1, 9, 12) for d in (1, 9, 10, 28) for y in (1999, 2020)] + ["31/1/1999", "5.6.2010", "15.6.2010", "5.12.2010"]
+    got = pseudonym(spark, values)
+    for v, (new, kinds) in got.items():
+        assert kinds == ["date"] and new != v and [len(x) for x in re.split("[/.]", new)] == [len(x) for x in re.split("[/.]", v)], v
+    assert len({new for new, _ in got.values()}) == len(values)
+
+
+def valid_iban(country, body):
+    number = "".join(str(int(c, 36)) for c in body + country + "00")
+    return f"{country}{98 - int(number) % 97:02}{body}"
+
+
+def test_every_country(spark):
+    """One valid number of every country of the registry, of digits and with letters."""
+    rnd, values = random.Random(3), []
+    for length, names in pii._IBAN_LENGTHS.items():
+        for c in names.split():
+            values.append(valid_iban(c, "".join(rnd.choice("0123456789") for _ in range(length - 4))))
+            values.append(valid_iban(c, "AB" + "".join(rnd.choice("0123456789") for _ in range(length - 6))))
+    got = pseudonym(spark, values)
+    assert len(values) > 150 and len({new for new, _ in got.values()}) == len(values)
+    for v, (new, kinds) in got.items():
+        assert kinds == ["iban"] and new != v and new[:2] == v[:2] and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", v)
+        assert int("".join(str(int(c, 36)) for c in new[4:] + new[:4])) % 97 == 1
+
+
+def feistel(key, kind, left, right, a, b):
+    """Ten rounds, in plain Python."""
+    half = lambda i, other, size: int(hashlib.sha256(f"{key}|{kind}|{i}|{other}".encode()).hexdigest()[:15], 16) % size
+    for i in range(1, 11):
+        if i % 2:
+            left = (left + half(i, right, a)) % a
+        else:
+            right = (right + half(i, left, b)) % b
+    return left, right
+
+
+def plain_digits(kind, d):
+    u = len(d) // 2
+    left, right = feistel(f"k/{len(d)}", kind, int(d[:u]), int(d[u:]), 10**u, 10 ** (len(d) - u))
+    return f"{left:0{u}}{right:0{len(d) - u}}"
+
+
+def refill(form, digits):
+    at = iter(digits)
+    return re.sub(r"\d", lambda _: next(at), form)
+
+
+def plain_pseudonym(kind, v):
+    d = re.sub(r"\D", "", v)
+    if kind == "card":
+        head = d[0] + plain_digits("card", d[1:-1])
+        return refill(v, head + next(c for c in "0123456789" if luhn(head + c)))
+    if kind == "phone":
+        code = v[:2] if re.fullmatch(r"\+\d{8,}", v) or v.startswith("0") else re.match(r"\+?\d*", v)[0] if v[0] == "+" else ""
+        return code + refill(v[len(code) :], plain_digits("phone", re.sub(r"\D", "", v[len(code) :])))
+    if kind == "ssn":
+        area, group, serial = int(d[:3]), int(d[3:5]), int(d[5:])
+        area, rest = feistel("k", "ssn", area - 1 if area < 666 else area - 2, (group - 1) * 9999 + serial - 1, 898, 989901)
+        return f"{area + 1 if area < 665 else area + 2:03}-{rest // 9999 + 1:02}-{rest % 9999 + 1:04}"
+    if kind == "ip":
+        w, x, y, z = map(int, v.split("."))
+        a, b = feistel("k", "ip", w * 256 + x, y * 256 + z, 65536, 65536)
+        return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    if kind == "iban":
+        body = refill(v[4:], plain_digits("iban", re.sub(r"\D", "", v[4:])))
+        return valid_iban(v[:2], body)
+    start = datetime.date(1800, 1, 1)
+    day = (datetime.date.fromisoformat(v) - start).days
+    a, b = feistel("k", "date", day // 773, day % 773, 189, 773)
+    return (start + datetime.timedelta(a * 773 + b)).isoformat()
+
+
+def test_like_plain_python(spark):
+    cases = {"card": ["4111111111111111", "4111 1111 1111 1111", "378282246310005"], "phone": ["555-123-4567", "+49 30 1234567", "+33 1 23 45 67 89", "+33123456789", "020 7946 0958"], "ssn": ["123-45-6789", "899-01-0001"], "ip": ["192.168.0.1", "8.8.8.8"], "iban": ["DE89370400440532013000", "PL61109010140000071219812874", "FR1420041010050500013M02606"], "date": ["2024-02-29", "1999-12-31", "1800-01-01"]}
+    got = pseudonym(spark, [v for own in cases.values() for v in own])
+    for kind, own in cases.items():
+        for v in own:
+            assert got[v] == (plain_pseudonym(kind, v), [kind]), v
+
+
+def test_no_plan_has_the_key(spark):
+    done = pii.pseudonyms(corpus.table(spark), "very secret's key")
+    plans = done._jdf.queryExecution()
+    assert done.count() and "very secret" not in plans.toString() + plans.executedPlan().toString() + done._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("extended"))
+
+
 def test_what_fails_stays(spark):
     for v, (new, kinds) in pseudonym(spark, ["4111111111111112", "2023-02-29", "13/13/2020", "000-12-3456", "666-12-3456", "300.1.1.1", "DE88370400440532013000", "1234567", "3.14", "x@y", "2500-01-01"]).items():
         assert (new, kinds) == (v, [])
@@ -257,5 +399,5 @@ def test_pii_table(spark):
     assert pii.pseudonyms(corpus.table(spark, []), "k").count() == 0
     assert "Python" not in done._jdf.queryExecution().executedPlan().toString()
     with pytest.raises(ValueError):
-        pii.pseudonyms(corpus.table(spark), "it's")
+        pii.pseudonyms(corpus.table(spark), "")
     assert done.select(F.sum("n_email")).first()[0] == 0

@@ -166,6 +166,17 @@ def test_engine_config():
             EngineConfig(**bad)
 
 
+def test_mixed_workload(spark, tmp_path):
+    from barsmith.engine import Engine
+    from barsmith.plans import workloads
+
+    engine = Engine(spark, EngineConfig((CandleSpec("t", "tick_count", 3),)), str(tmp_path / "e"))
+    got = workloads.mixed(spark, engine, "t", 600, rounds=1, symbols=4, count=5, offsets=3).collect()
+    assert [(r.PhaseName, r.ActiveReaders) for r in got] == [("feed", 0), ("mixed", 1)] and all(r.FeedCountPerSec > 0 for r in got)
+    assert got[0].QueryLatency_P50_ns is None and got[1].QueryCountPerSec > 0 and got[1].FailedQueriesPerSec == 0
+    assert sum(r.tick_count for r in engine.bars("t").collect()) == 1200
+
+
 def test_workloads(spark):
     from barsmith.plans import workloads
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barsmith.llm import repeats
-from barsmith.llm.common import partitions_for, small, unused, utf8
+from barsmith.llm.common import partitions_for, small, unused, utf8, written
 from barsmith.llm.repeats import NONE
 from barsmith.llm.rolling import Prefix, byte_codes, mix, side_keys, sliding_min, split_crowded, super_kmers
 
@@ -427,7 +427,9 @@ def repeat_groups(docs: DataFrame, k: int = BYTES, id_col: str = "doc_id", text_
 def removals(docs: DataFrame, k: int = BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, hash, runs: array of (start, n, of, digest)): the k-byte windows of each document that also start earlier."""
     met, strings = _met(docs, k, id_col, text_col)
-    return repeats.by_document(repeats.spans(met, _scan(strings, k), True))
+    # Written, so that the next join can part a sequence that very many documents have, and disk that is not needed any more is free.
+    found = written(_scan(strings, k), "found")
+    return repeats.by_document(repeats.spans(met, found, True))
 
 
 def without_repeats(docs: DataFrame, k: int = BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

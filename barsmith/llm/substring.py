@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barsmith.llm import repeats
-from barsmith.llm.common import groups, small, utf8, written
+from barsmith.llm.common import scratch, small, utf8, written
 from barsmith.llm.rolling import Prefix, byte_codes, sliding_min, split_crowded, super_kmers, words
 
 WORDS = 13
@@ -117,7 +117,7 @@ def _found(opened: DataFrame) -> DataFrame:
     """What is known of each sequence: (mini, sk, first_id, first_start, runs)."""
     run = lambda later, at, n, of, digest: F.struct(later.alias("later"), at.cast("int").alias("at"), n.cast("int").alias("n"), of.cast("long").alias("of"), digest.cast("long").alias("digest"))
     whole = _compact(opened.where("edge IS NULL AND many")).select("mini", "sk", "id", "start", run(F.lit(True), F.lit(0), F.col("n"), F.col("of"), F.col("digest")).alias("run"))
-    edges = opened.where("edge IS NOT NULL").select("mini", "sk", "edge", "id", "start", "at", "n", "many")
+    edges = opened.where("edge IS NOT NULL").select("mini", "sk", "edge", "id", "start", "at")
     # The earliest document of an edge comes from sums of each task, so an edge that very many paths share costs a few rows.
     first = edges.groupBy("mini", "edge").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
     ats = edges.join(first, ["mini", "edge"]).where("id > first").groupBy("mini", "sk").agg(F.min("id").alias("id"), F.min("start").alias("start"), F.sort_array(F.collect_set("at")).alias("ats"))
@@ -133,8 +133,10 @@ def removals(docs: DataFrame, k: int = WORDS, id_col: str = "doc_id", text_col:
     """Rows (id, hash, runs: array of (start, n, of, digest)): the windows of each document that start in an earlier one."""
     own = repeats.keyed(docs, id_col, text_col)
     met = repeats.repeated(repeats.super_rows(own, _cutter(k), False), False)
-    opened = _open(own, repeats.representatives(met, False), k)
-    return repeats.by_document(repeats.spans(met, _found(opened), False))
+    # Written, so that the next join can part a sequence that very many documents have, and disk that is not needed any more is free.
+    with scratch(docs.sparkSession) as keep:
+        found = keep(_found(_open(own, repeats.representatives(met, False), k)), "found")
+    return repeats.by_document(repeats.spans(met, found, False))
 
 
 def _cut(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that are worked on at a time.  Spark bounds the bytes of an Arrow batch; texts are cut further by bytes (``groups``).
 BATCH_ROWS = 256
+#: Bytes of an Arrow batch while a table is written; the session's own setting comes back afterwards.
+BATCH_BYTES, _BYTES = 1 << 23, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Folder, below that of the application, of tables that are written now.
 _FOLDER: contextvars.ContextVar[str] = contextvars.ContextVar("folder", default="tables")
 
@@ -53,7 +55,12 @@ def written(df: DataFrame, what: str, folder: str | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: a cut in the lineage that outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{folder or _FOLDER.get()}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_BYTES, None)
+    spark.conf.set(_BYTES, str(BATCH_BYTES))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_BYTES) if before is None else spark.conf.set(_BYTES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

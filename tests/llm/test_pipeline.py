@@ -69,6 +69,21 @@ def test_run_and_queries(spark, folder):
         assert got.count() > 0, name
 
 
+def test_session_and_folder_stay_as_they_were(spark, folder):
+    from pathlib import Path
+
+    from barsmith.llm import common
+
+    settings = lambda: {k: spark.conf.get(k, None) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.session.timeZone")}
+    before = settings()
+    queries.QUERIES["op5_simhash"](spark, folder)
+    with common.scratch(spark) as keep:
+        common.written(spark.range(3), "gone")
+        kept = keep(spark.range(4), "kept")
+    at = Path(common.shared_dir(spark).replace("file://", ""))
+    assert settings() == before and kept.count() == 4 and not list(at.glob("scratch-*"))
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

@@ -135,6 +135,15 @@ def test_ema_and_rates(spark):
     assert [(r.rate, r.smoothed) for r in got] == [(8, 8), (16, 10)]
 
 
+def test_rates_of_large_counts(spark):
+    """Counts whose product with the nanoseconds of a second leaves 64 bits."""
+    day, n = 86400 * 10**9, 40_020 * 10**6
+    rows = [("k", day * i, n * i * (i + 1) // 2) for i in range(1, 4)]
+    got = scalar.rates(spark.createDataFrame(rows, "k string, at long, n long"), ["k"], "at", "n").orderBy("at").collect()
+    first, second = (n * i * 10**9 // day for i in (2, 3))
+    assert [(r.rate, r.smoothed) for r in got] == [(first, first), (second, (second + 3 * first) >> 2)]
+
+
 def test_json(spark):
     good = '{"stream":"s","data":{"s":"BTCUSDT","T":5,"a":42,"p":"35000.10","q":"0.005"}}'
     lines = [good, "no json", "{}", good.replace('"a":42,', ""), good.replace("BTC", "ETH"), good.replace("35000.10", "x"), None]

@@ -98,6 +98,30 @@ def test_ties_are_bounded(spark):
     assert len(q) == 50 * 20 and i[q == 49].tolist() == list(range(20)) and i[q == 3].tolist() == [x for x in range(21) if x != 3] and set(s) == {2}
 
 
+def test_top_k_deals_no_cells(spark):
+    """More cells on the same vectors cost no more shuffled bytes than their lists: blocks are not dealt to each other."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=64)]) for i in range(2000)], "vec_id long, embedding array<double>")
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(found.apply(i).shuffleWriteBytes() for i in range(found.size()))
+
+    made, name = [], "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(name, "-1")  # as for tables that are too large
+    try:
+        for block in (2000, 40):
+            before = shuffled()
+            got = topk.top_k(topk.quantised(df), topk.quantised(df), 5, query_block=block, row_block=block).collect()
+            assert len(got) == 10000
+            made.append((shuffled() - before, {tuple(r) for r in got}))
+    finally:
+        spark.conf.unset(name)
+    assert made[0][1] == made[1][1]
+    assert made[1][0] - made[0][0] < 2000 * 50 * 64 / 2  # dealt, the 50 x 50 cells carry each query's bytes 50 times
+
+
 def test_top_k_few_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(topk.quantised(df), topk.quantised(df.where("vec_id = 0")), 20).collect()] == [(0, 1, 1, 64 * 128)]

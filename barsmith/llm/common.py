@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_ROWS = 256
 #: Bytes of an Arrow batch while a table is written; the session's own setting comes back afterwards.
 BATCH_BYTES, _BYTES = 1 << 23, "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Shuffle files of a table that is being written go as soon as it stands, not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Folder, below that of the application, of tables that are written now.
 _FOLDER: contextvars.ContextVar[str] = contextvars.ContextVar("folder", default="tables")
 
@@ -55,12 +57,15 @@ def written(df: DataFrame, what: str, folder: str | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: a cut in the lineage that outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{folder or _FOLDER.get()}/{what}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_BYTES, None)
-    spark.conf.set(_BYTES, str(BATCH_BYTES))
+    own = {_BYTES: str(BATCH_BYTES), _CLEANUP: "true"}
+    before = {name: spark.conf.get(name, None) for name in own}
     try:
+        for name, value in own.items():
+            spark.conf.set(name, value)
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.unset(_BYTES) if before is None else spark.conf.set(_BYTES, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barsmith.llm import repeats
-from barsmith.llm.common import partitions_for, small, unused, utf8, written
+from barsmith.llm.common import partitions_for, scratch, small, unused, utf8, written
 from barsmith.llm.repeats import NONE
 from barsmith.llm.rolling import Prefix, byte_codes, mix, side_keys, sliding_min, split_crowded, super_kmers
 
@@ -247,14 +247,16 @@ def singles(text: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
 _STRINGS = "mini long, part long, sk long, id long, start int, shift int, n int, loop boolean, many boolean, single boolean, text binary"
 
 
-def _strings(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
-    """The bytes of every representative; those of crowded minimisers in pieces."""
+def _strings(docs: DataFrame, reps: DataFrame, k: int, put: Callable = lambda df, what: df) -> DataFrame:
+    """The bytes of every representative; those of crowded minimisers in pieces.  ``put``: what is done with what is wanted of
+    each text before texts are dealt."""
     # Only crowded minimisers are named, which are few, and for each salt, so that the join does not gather a crowd in one task.
     salt = F.pmod(F.col("sk"), F.lit(SALTS))
     crowd = reps.groupBy("mini").agg(F.count("*").alias("n")).where(F.col("n") > SEQUENCES).select("mini", F.when(F.col("n") > ROWS_HELD, 2).otherwise(1).alias("crowd"))
     crowd = crowd.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     marked = reps.withColumn("salt", salt).join(crowd, ["mini", "salt"], "left")
     wanted = marked.groupBy("id", "hash").agg(F.collect_list(F.struct("mini", "sk", "start", "n", "loop", "many", F.coalesce("crowd", F.lit(0)).alias("crowd"))).alias("wanted"))
+    wanted = put(wanted, "wanted")
 
     def each(batches):
         for batch in small(batches):
@@ -393,13 +395,6 @@ def _scan(strings: DataFrame, k: int) -> DataFrame:
     return _grouped(strings, k, whole, alone, kinds).groupBy("mini", "sk").agg(F.min("id").alias("first_id"), F.min("start").alias("first_start"), F.collect_list(run).alias("runs"))
 
 
-def _met(docs: DataFrame, k: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Occurrences of sequences that may repeat, and the bytes of each sequence."""
-    own = repeats.keyed(docs, id_col, text_col)
-    met = repeats.repeated(repeats.super_rows(own, _cutter(k), True), True)
-    return met, _strings(own, repeats.representatives(met, True), k)
-
-
 def repeat_groups(docs: DataFrame, k: int = BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (group, length, id, start): every member of every maximal repeat group, as bytes ``start`` to ``start + length`` of the text.
 
@@ -417,8 +412,9 @@ def repeat_groups(docs: DataFrame, k: int = BYTES, id_col: str = "doc_id", text_
         of = mix(table["mini"].to_numpy().view(np.uint64) ^ mix(table["part"].to_numpy().view(np.uint64).copy())).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(table[c].to_numpy()) for c in ("mini", "sk")] + [pa.array(of), pa.array(np.full(len(of), k)), pa.array(table["shift"].to_numpy().astype(np.int32))], names)
 
-    met, strings = _met(docs, k, id_col, text_col)
-    made = _grouped(strings, k, whole, alone, "mini long, sk long, group long, length long, at int")
+    own = repeats.keyed(docs, id_col, text_col)
+    met = repeats.repeated(repeats.super_rows(own, _cutter(k), True), True)
+    made = _grouped(_strings(own, repeats.representatives(met, True), k), k, whole, alone, "mini long, sk long, group long, length long, at int")
     rows = met.select("mini", "sk", "id", "start").join(made, ["mini", "sk"]).select("group", "length", "id", (F.col("start") + F.col("at")).alias("start")).distinct()
     few = rows.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")  # a window that its bucket has once
     return rows.join(few, "group", "left_semi")
@@ -426,9 +422,12 @@ def repeat_groups(docs: DataFrame, k: int = BYTES, id_col: str = "doc_id", text_
 
 def removals(docs: DataFrame, k: int = BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, hash, runs: array of (start, n, of, digest)): the k-byte windows of each document that also start earlier."""
-    met, strings = _met(docs, k, id_col, text_col)
-    # Written, so that the next join can part a sequence that very many documents have, and disk that is not needed any more is free.
-    found = written(_scan(strings, k), "found")
+    own = repeats.keyed(docs, id_col, text_col)
+    met = repeats.repeated(repeats.super_rows(own, _cutter(k), True), True)
+    # Written, so that the next join can part a sequence that very many documents have, and disk that is not needed any more is free:
+    # what is wanted of a text before texts are dealt, the sequences before these are, and all that when the groups are known.
+    with scratch(docs.sparkSession) as keep:
+        found = keep(_scan(written(_strings(own, repeats.representatives(met, True), k, written), "strings"), k), "found")
     return repeats.by_document(repeats.spans(met, found, True))
 
 

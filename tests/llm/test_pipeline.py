@@ -84,6 +84,24 @@ def test_session_and_folder_stay_as_they_were(spark, folder):
     assert settings() == before and kept.count() == 4 and not list(at.glob("scratch-*"))
 
 
+def test_written_leaves_no_shuffle_files(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from barsmith.llm import common
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    there = lambda: {x for x in disk.getAllFiles().mkString(",").split(",") if "/shuffle_" in x}
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = there(), spark.conf.get(name)
+    got = common.written(spark.range(5000).groupBy((F.col("id") % 1000).alias("k")).count().repartition(3, "count"), "counts")
+    until = time.time() + 10
+    while there() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not there() - before and got.count() == 1000 and spark.conf.get(name) == setting
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

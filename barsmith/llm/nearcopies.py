@@ -1,10 +1,13 @@
-"""Near copies by word shingles: partial fingerprints, a table of safe distance bounds and an exact check.
+"""Near copies by word shingles: SimHash fingerprints with pivot tables, partial fingerprints beyond, and an exact check.
 
 Two texts are linked if the sets of their five-word shingles (ASCII lower case; fewer words: the whole sequence) have a
 Jaccard similarity of ``least`` or more.  Exact copies are one text from the start.
 
+Candidates come by the method of ``simhash`` first: each text's fingerprint, its distances to the pivots, triples of equal bit
+blocks, pairs at 3 or fewer differing bits (``print_pairs``).  The exact similarity decides on each of these pairs.
+
 Fingerprints of similar texts at 0.8 differ in about 10 of 64 bits, up to 20; no blocking of 64 bits finds such pairs without
-most of all pairs.  So candidates meet by *partial* fingerprints: each of ``TABLES`` tables hashes the two shingles with
+most of all pairs.  So further candidates meet by *partial* fingerprints: each of ``TABLES`` tables hashes the two shingles with
 the smallest values under the table's own two orders.  A pair at 0.8 misses one table with a chance of 0.36, all twelve with
 5 in a million.  In a bucket, a pair is discarded only if its sets surely differ by too much: by their sizes, or by how
 many shingles they have of each of ``KINDS`` kinds (the differences of these counts add up to no more than the shingles that
@@ -23,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barsmith.llm import simhash
 from barsmith.llm.common import groups, small, utf8, written
 from barsmith.llm.rolling import Prefix, byte_codes, mix, words
 from barsmith.llm.simhash import components
@@ -137,6 +141,15 @@ def cell_forest(ids: np.ndarray, counts: np.ndarray, sets: list[np.ndarray], sid
     return out
 
 
+def print_pairs(firsts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts (id, fp) that connect just what their fingerprints link at 3 or fewer bits, by pivot tables (see ``simhash``)."""
+    prints = written(firsts.groupBy("fp").agg(F.min("id").alias("own")), "prints")
+    forest = simhash.links(written(simhash.with_pivots(prints), "pivots"))
+    a, b = (prints.select(F.col("fp").alias(x), F.col("own").alias(f"own_{x}")) for x in "ab")
+    same = firsts.join(prints, "fp").where("id != own").select(F.col("own").alias("a"), F.col("id").alias("b"))
+    return forest.join(a, "a").join(b, "b").select(F.col("own_a").alias("a"), F.col("own_b").alias("b")).union(same)
+
+
 def links(docs: DataFrame, id_col: str, text_col: str, least: float, shingle: int) -> tuple[DataFrame, DataFrame]:
     """Exact copies as (id, first), and edges (a, b) between firsts."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id IS NOT NULL").withColumn("digest", F.sha2("text", 256))
@@ -145,13 +158,14 @@ def links(docs: DataFrame, id_col: str, text_col: str, least: float, shingle: in
         for batch in small(batches):
             data, at = utf8(batch.column(2))
             tops = [np.zeros((0, 2 * TABLES), np.uint64)]
+            prints = np.array([simhash.fingerprint(data[a:b].tobytes()) for a, b in zip(at[:-1], at[1:])], np.uint64)
             for a, b in groups(at, TEXT_BYTES):
                 tops.append(sketch(*shingle_hashes(data[at[a] : at[b]], at[a : b + 1] - at[a], shingle)))
             m = np.concatenate(tops).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(np.arange(0, m.size + 1, 2 * TABLES, dtype=np.int32), m.ravel())], ["id", "digest", "least"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(np.arange(0, m.size + 1, 2 * TABLES, dtype=np.int32), m.ravel()), pa.array(prints.view(np.int64))], ["id", "digest", "least", "fp"])
 
-    known = written(own.select("id", "digest", "text").mapInArrow(sketches, "id long, digest string, least array<long>"), "sketches")
-    firsts = known.groupBy("digest").agg(F.min(F.struct("id", "least")).alias("r")).select("digest", "r.*")
+    known = written(own.select("id", "digest", "text").mapInArrow(sketches, "id long, digest string, least array<long>, fp long"), "sketches")
+    firsts = known.groupBy("digest").agg(F.min(F.struct("id", "least", "fp")).alias("r")).select("digest", "r.*")
     firsts = written(firsts, "firsts")
     copies = known.join(firsts.select("digest", F.col("id").alias("first")), "digest").select("id", "first")
 
@@ -163,7 +177,9 @@ def links(docs: DataFrame, id_col: str, text_col: str, least: float, shingle: in
     cut = F.ceil(F.col("n") / HOT).cast("int")
     met = met.withColumn("cut", cut).withColumn("own", F.pmod(F.xxhash64("id"), F.col("cut")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
     met = met.select("no", "key", F.least("own", "other").alias("row"), F.greatest("own", "other").alias("col"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id")
-    met = written(met, "cells")
+    # A pair of near fingerprints is a cell of two.
+    pair = print_pairs(firsts.select("id", "fp")).select(F.lit(TABLES).alias("no"), F.xxhash64("a", "b").alias("key"), F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit(0).alias("side"), F.explode(F.array("a", "b")).alias("id"))
+    met = written(met.unionByName(pair), "cells")
 
     def shingles(batches):
         for batch in small(batches):

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import corpus
@@ -176,3 +177,30 @@ def test_cells():
             meet = lambda a, b: (side[a] != side[b] or not side.any()) and jaccard(frozenset(sets[a]), frozenset(sets[b])) >= 0.5  # noqa: B023, E731
             assert corpus.components(range(40), lambda a, b: frozenset((a, b)) in edges) == corpus.components(range(40), meet)  # noqa: B023
         nearcopies.FEW = kept
+
+
+def test_near_copies_come_by_fingerprints_too(spark, monkeypatch):
+    """Pairs of near fingerprints are those of brute force, and link without the partial fingerprints, where the exact check agrees."""
+    rnd = random.Random(11)
+    rows = []
+    for i in range(12):
+        w = [f"w{rnd.randrange(5000)}" for _ in range(400)]
+        rows += [(3 * i, " ".join(w)), (3 * i + 1, " ".join(w[:-1] + ["other"])), (3 * i + 2, " ".join(w[:-2] + ["x", "y"]))]
+    prints = {i: simhash.fingerprint(t.encode()) for i, t in rows}
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    pairs = nearcopies.print_pairs(spark.createDataFrame([(i, signed(p)) for i, p in prints.items()], "id long, fp long")).collect()
+
+    def named(edges):
+        name = {i: i for i in prints}
+        for _ in prints:
+            for a, b in edges:
+                name[a] = name[b] = min(name[a], name[b])
+        return name
+
+    want = named([(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 3])
+    assert named([tuple(p) for p in pairs]) == want and len(set(want.values())) < 36
+    # Partial fingerprints of their own for every text: nothing meets by them.
+    count = iter(range(1, 10**6))
+    monkeypatch.setattr(nearcopies, "sketch", lambda hashes, bound: np.array([[next(count)] * (2 * nearcopies.TABLES) for _ in bound[1:]], np.uint64))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {r.id: r.component for r in nearcopies.classes(docs).collect()} == want
